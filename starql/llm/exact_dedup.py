@@ -35,7 +35,8 @@ def frequent_digests(keys: DataFrame, tracked: int = TRACKED) -> DataFrame:
     """One column ``_key``: 64-bit key of each digest that may be frequent (no frequent one is missing)."""
     part = keys.select(F.xxhash64("_digest").alias("_key"), F.pmod(F.spark_partition_id(), F.lit(SUMMARY_GROUPS)).alias("_g"))
     summaries = part.groupBy("_g").agg(F.expr(f"approx_top_k_accumulate(_key, {tracked})").alias("_s"))
-    merged = summaries.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {tracked}), {tracked // 2})").alias("_t"))
+    # A grouped aggregate: the global one fails in tasks without rows (its empty buffer can't be serialised).
+    merged = summaries.groupBy((F.col("_g") * 0).alias("_all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {tracked}), {tracked // 2})").alias("_t"))
     return merged.select(F.explode("_t").alias("_t")).where("_t.count > 1").select(F.col("_t.item").alias("_key"))
 
 
