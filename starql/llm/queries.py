@@ -6,8 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .common import table
+from .common import is_held_out, table
 from .exact_dedup import exact_dedup
+from .langid import identify_language
+from .linkgraph import filter_urls
+from .mil_quality import THRESHOLD, score_quality
+from .mil_quality import fit as fit_quality
+from .secret_crf import scan_secrets
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    return identify_language(docs).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = fit_quality(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +71,8 @@ FROM n
 
 
 def queries() -> dict:
-    return {"op6_exact_dedup": op6_exact_dedup, "op8_bpe": op8_bpe}
+    found = (op1_secret_scan, op2_language_id, op4_url_filter, op5_quality, op6_exact_dedup, op8_bpe)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
