@@ -12,6 +12,7 @@ from .langid import identify_language
 from .linkgraph import filter_urls
 from .mil_quality import THRESHOLD, score_quality
 from .mil_quality import fit as fit_quality
+from .minhash_join import jaccard_classes
 from .secret_crf import scan_secrets
 
 
@@ -28,6 +29,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_classes(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return found.select(F.col("_id").alias("doc_id"), "class_id", "n_links")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", ["page_id", "url", "html"])
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -71,7 +77,7 @@ FROM n
 
 
 def queries() -> dict:
-    found = (op1_secret_scan, op2_language_id, op4_url_filter, op5_quality, op6_exact_dedup, op8_bpe)
+    found = (op1_secret_scan, op2_language_id, op3_ngram_jaccard_join, op4_url_filter, op5_quality, op6_exact_dedup, op8_bpe)
     return {f.__name__: f for f in found}
 
 
