@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .backoff_lm import score_texts
 from .bpe import bpe_encode
 from .common import is_held_out, table
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .langid import identify_language
 from .linkgraph import filter_urls
@@ -68,6 +70,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return contaminated(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, CAST(count(*) OVER (PARTITION BY h) AS BIGINT) AS group_size,
@@ -77,7 +88,7 @@ FROM n
 
 
 def queries() -> dict:
-    found = (op1_secret_scan, op2_language_id, op3_ngram_jaccard_join, op4_url_filter, op5_quality, op6_exact_dedup, op8_bpe)
+    found = (op1_secret_scan, op2_language_id, op3_ngram_jaccard_join, op4_url_filter, op5_quality, op6_exact_dedup, op7_decontamination, op8_bpe, op9_lm_scoring)
     return {f.__name__: f for f in found}
 
 
