@@ -16,6 +16,7 @@ from .mil_quality import THRESHOLD, score_quality
 from .mil_quality import fit as fit_quality
 from .minhash_join import jaccard_classes
 from .secret_crf import scan_secrets
+from .suffix_dedup import remove_repeats
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,11 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, CAST(count(*) OVER (PARTITION BY h) AS BIGINT) AS group_size,
@@ -88,7 +94,7 @@ FROM n
 
 
 def queries() -> dict:
-    found = (op1_secret_scan, op2_language_id, op3_ngram_jaccard_join, op4_url_filter, op5_quality, op6_exact_dedup, op7_decontamination, op8_bpe, op9_lm_scoring)
+    found = (op1_secret_scan, op2_language_id, op3_ngram_jaccard_join, op4_url_filter, op5_quality, op6_exact_dedup, op7_decontamination, op8_bpe, op9_lm_scoring, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
