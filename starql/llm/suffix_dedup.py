@@ -39,8 +39,8 @@ SPAN = 400
 GRAM = 256
 MARGIN = SPAN - GRAM
 LARGE = 512
-#: Tables up to this many rows (some 30 MB) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 150_000
+#: Lists of up to this many entries in all (some 5 MB) are broadcast; longer ones are joined by a shuffle.
+BROADCAST_ENTRIES = 100_000
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
 _BASE2_INV = pow(_BASE2, -1, 1 << 64)
 
@@ -194,8 +194,9 @@ def hash_bytes(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, entries: str) -> DataFrame:
+    total = df.agg(F.sum(F.size(entries)).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if total <= BROADCAST_ENTRIES else df
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
@@ -204,6 +205,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
     grams = _anchor_rows(docs, False).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    grams = materialise(grams, "grams")  # on its own, so that the join below can split a frequent gram's partition
     occ = materialise(_anchor_rows(docs, True).join(grams, "gram"), "occurrences")
 
     rep = F.min(F.struct("_id", "_hash", "pos", "lm", "rm"))
@@ -212,7 +214,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = parts.where("c > 1").select("gram", "part", F.col("rep.lm").cast("long").alias("a"), F.col("rep.rm").cast("long").alias("b"))
     want = parts.join(several, "gram").select(F.col("rep._id").alias("_id"), F.col("rep._hash").alias("_hash"), F.struct("gram", "part", F.col("rep.pos").alias("pos"), "k").alias("w"))
     want = materialise(want.groupBy("_id", "_hash").agg(F.collect_list("w").alias("want")).withColumnsRenamed({"_id": "_wid", "_hash": "_whash"}), "wanted")
-    texts = docs.join(_small(want), F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_hash") == F.col("_whash"))).select("_text", "want")
+    texts = docs.join(_small(want, "want"), F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_hash") == F.col("_whash"))).select("_text", "want")
     open_ = _fetch(texts, large)
     bins = max(16, want.count() // 100)
     # Small groups share a bin; a divided group has its own key for each half.
@@ -225,7 +227,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Repeated rows (same id and text) bring the same cuts; a set keeps the list within the text's own anchors.
     cuts = cuts.groupBy("_id", "_hash").agg(F.collect_set("cut").alias("cuts")).withColumnsRenamed({"_id": "_cid", "_hash": "_chash"})
     cuts = materialise(cuts, "cuts")
-    rows = docs.join(_small(cuts), F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")), "left").select("_id", "_text", "cuts")
+    rows = docs.join(_small(cuts, "cuts"), F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")), "left").select("_id", "_text", "cuts")
     kind = dict(docs.dtypes)["_id"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
