@@ -194,10 +194,11 @@ class Cross:
 
 @dataclass(frozen=True)
 class Join:
-    kind: str  # inner, left, right, full
+    kind: str  # inner, left, right, full; hint: a Spark join hint
     left: Op
     right: Op
     cond: Expr
+    hint: str | None = None
 
 
 Op = Empty | Table | Derived | Filter | Project | Aggregate | Cross | Join
@@ -217,7 +218,7 @@ class Query:
 
 def inputs(op: Op) -> tuple[Op, ...]:
     match op:
-        case Cross(a, b) | Join(_, a, b, _):
+        case Cross(a, b) | Join(_, a, b):
             return a, b
         case Filter() | Project() | Aggregate() | Derived():
             return (op.source,)

@@ -82,10 +82,11 @@ class Compiler:
             case A.Cross(left, right):
                 a, b = self.rel(left), self.rel(right)
                 return Rel(a.df.crossJoin(b.df), a.cols + b.cols)
-            case A.Join(kind, left, right, cond):
+            case A.Join(kind, left, right, cond, own):
                 a, b = self.rel(left), self.rel(right)
                 both = Rel(a.df, a.cols + b.cols)
-                other = b.df.hint(self.hint) if self.hint else b.df
+                hint = own or self.hint
+                other = b.df.hint(hint) if hint else b.df
                 return Rel(a.df.join(other, self.predicate(cond, both), kind), both.cols)
         raise TypeError(op)
 
