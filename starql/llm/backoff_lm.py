@@ -111,7 +111,7 @@ class Model:
 
     def __init__(self, uni: np.ndarray, hot: np.ndarray, hot_count: np.ndarray, partitions: int):
         self.total = max(int(uni.sum()), 1)
-        self.log1 = np.log(np.maximum(uni, 1)).astype(np.float32)
+        self.log1 = np.log(np.maximum(uni, 1))
         self.hot, self.hot_count, self.partitions = hot, hot_count, partitions
 
     def value(self, code: np.ndarray, count: np.ndarray) -> np.ndarray:
