@@ -14,8 +14,8 @@ A corpus is far too long for one array, so it is cut into small problems that lo
    with both neighbours follows the largest stretch around the anchor that repeated strings cover.
 4. Stretches are collected for each text, merged and cut out of its bytes.
 
-A gram with more than ``large`` different slices is divided by the half of either margin that lies next to the gram:
-a common string has one of these halves in full.
+A gram with more than ``large`` different slices is divided by the half of either margin that lies next to the gram (a
+common string has one of these halves in full), first over tasks, then within a task until each suffix array is small.
 
 Defined results: null counts as empty; matches do not cross rows; repeated rows are repeats of one another; texts
 shorter than ``SPAN`` keep all bytes; what remains is bytes and may not be valid UTF-8; null or repeated ids are
@@ -154,13 +154,60 @@ def repeated_stretches(slices: list[tuple[bytes, int, bytes]], span: int = SPAN,
     return best
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge(best: list, found: list, at: list[int]) -> None:
+    """Widens the stretches of the slices ``at`` by ``found``."""
+    for i, f in zip(at, found, strict=True):
+        if f:
+            old = best[i] or (0, 0)
+            best[i] = (max(old[0], f[0]), max(old[1], f[1]))
+
+
+def stretches(slices: list[tuple[bytes, int, bytes]], large: int, span: int = SPAN, gram: int = GRAM) -> list[tuple[int, int] | None]:
+    """``repeated_stretches`` with suffix arrays of at most ``large`` slices.
+
+    A larger group is divided by what its members share next to their common core: a common string that reaches to
+    one side of the core by half the missing bytes, or to the other side by the other half, has that half in full.
+    When whole strings are shared, each side's longest continuation is next to it in the order of that side, so runs
+    of that order, overlapping by one, are enough."""
+    best: list[tuple[int, int] | None] = [None] * len(slices)
+    todo = [(list(range(len(slices))), 0, 0)]
+    while todo:
+        who, lo, hi = todo.pop()
+        missing = span - gram - lo - hi
+        if len(who) <= large:
+            _merge(best, repeated_stretches([slices[i] for i in who], span, gram), who)
+        elif not missing:
+            for side in (lambda i: (slices[i][0][::-1], slices[i][1]), lambda i: (slices[i][2], slices[i][1])):
+                order = sorted(who, key=side)
+                for k in range(0, len(order) - 1, large - 1):
+                    run = order[k : k + large]
+                    _merge(best, repeated_stretches([slices[i] for i in run], span, gram), run)
+        else:
+            x, y = lo + (missing + 1) // 2, hi + missing - (missing + 1) // 2 + 1
+            parts: dict[tuple, list[int]] = {}
+            for i in who:
+                left, mid, right = slices[i]
+                if len(left) >= x:
+                    parts.setdefault(("l", mid, left[len(left) - x :]), []).append(i)
+                if len(right) >= y and y <= span - gram:
+                    parts.setdefault(("r", mid, right[:y]), []).append(i)
+            todo += [(group, x if key[0] == "l" else lo, hi if key[0] == "l" else y) for key, group in parts.items() if len(group) > 1]
+    return best
+
+
+def _resolve(pdf: pd.DataFrame, large: int) -> pd.DataFrame:
+    gram, side, part, check = (pdf[c].to_numpy() for c in ("gram", "side", "part", "check"))
+    left, right = pdf["l"].tolist(), pdf["r"].tolist()
+    order = np.lexsort((part, side, gram))
+    g, d, p = gram[order], side[order], part[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]
+    order, start = order[(first := new | np.r_[True, p[1:] != p[:-1]])], np.flatnonzero(new[first])
     out = []
-    for _, g in pdf.groupby(["gram", "side"], sort=False):
-        g = g.drop_duplicates("part")
-        if len(g) > 1:
-            found = repeated_stretches(list(zip(g["l"], g["check"].tolist(), g["r"], strict=True)))
-            out += [(gram, part, *f) for gram, part, f in zip(g["gram"].tolist(), g["part"].tolist(), found, strict=True) if f]
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
+        if b - a > 1:
+            at = order[a:b].tolist()
+            found = stretches([(left[i], int(check[i]), right[i]) for i in at], large)
+            out += [(int(gram[i]), int(part[i]), *f) for i, f in zip(at, found, strict=True) if f]
     return pd.DataFrame(out, columns=["gram", "part", "a", "b"]).astype("int64")
 
 
@@ -219,7 +266,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bins = max(16, want.count() // 100)
     # Small groups share a bin; a divided group has its own key for each half.
     key = F.when(F.col("side") == 0, F.pmod(F.xxhash64("gram"), F.lit(bins))).otherwise(F.xxhash64("gram", "side"))
-    found = open_.withColumn("k", key).groupBy("k").applyInPandas(_resolve, "gram long, part long, a long, b long")
+    found = open_.withColumn("k", key).groupBy("k").applyInPandas(lambda pdf: _resolve(pdf, large), "gram long, part long, a long, b long")
     stretch = whole.unionByName(found).groupBy("gram", "part").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     stretch = materialise(stretch, "stretches")
 

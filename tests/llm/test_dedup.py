@@ -12,7 +12,7 @@ from starql.llm import minhash_join as M
 from starql.llm.components import connected_components
 from starql.llm.exact_dedup import exact_dedup, frequent_digests, verified_winners
 from starql.llm.suffix_array import common_prefixes, suffix_array
-from starql.llm.suffix_dedup import remove_repeats
+from starql.llm.suffix_dedup import remove_repeats, repeated_stretches, stretches
 
 from .data import corpus, frame, odd
 
@@ -122,6 +122,35 @@ def test_suffix_array():
                 assert a[:n] == b[:n] and (len(a) == n or len(b) == n or a[n] != b[n])
 
 
+@pytest.mark.parametrize("large", [2, 3, 5])
+def test_divided_groups_give_the_same_stretches(large):
+    r = random.Random(7)
+    for _ in range(150):
+        left, right = "".join(r.choice("ab") for _ in range(8)), "".join(r.choice("ab") for _ in range(8))
+        slices = set()
+        for _ in range(r.randrange(2, 14)):
+            a, b = list(left), list(right)
+            if r.random() < 0.7:
+                a[r.randrange(8)] = r.choice("abx")
+            if r.random() < 0.7:
+                b[r.randrange(8)] = r.choice("aby")
+            slices.add(("".join(a).encode()[r.choice([0, 0, 0, 3]) :], r.choice([1, 1, 1, 2]), "".join(b).encode()[: r.choice([8, 8, 5])]))
+        slices = sorted(slices)
+        want = []
+        for i, (l, g, x) in enumerate(slices):
+            a, b = [0], [0]
+            for j, (m, h, y) in enumerate(slices):
+                if i != j and g == h:
+                    n = next((k for k in range(min(len(l), len(m))) if l[-1 - k] != m[-1 - k]), min(len(l), len(m)))
+                    o = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+                    if n + o >= 8:
+                        a.append(n)
+                        b.append(o)
+            want.append((max(a), max(b)) if len(a) > 1 else None)
+        assert repeated_stretches(slices, 12, 4) == want
+        assert stretches(slices, large, 12, 4) == want
+
+
 def brute_repeats(texts, span=400):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(x[i : i + span] for x in raw for i in range(len(x) - span + 1))
