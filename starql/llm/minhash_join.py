@@ -140,20 +140,27 @@ def _roots(link: np.ndarray) -> np.ndarray:
 
 def _verify(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links and forest edges of a block pair, or of several small groups."""
-    out = []
-    for _, group in pdf.groupby("comp", sort=False):
-        g = group.drop_duplicates("node").sort_values(["side", "node"], kind="stable")
-        sets = [np.frombuffer(s, X.U64) for s in g["grams"]]
-        node, size, side = g["node"].to_numpy(), g["size"].to_numpy(), g["side"].to_numpy()
-        split = int((side == 0).sum()) if (side == 1).any() else None
-        link = _linked(sets, threshold, split)
+    comp, node, size, side = (pdf[c].to_numpy() for c in ("comp", "node", "size", "side"))
+    grams = pdf["grams"].tolist()
+    order = np.lexsort((node, side, comp))
+    same = np.r_[False, (comp[order[1:]] == comp[order[:-1]]) & (node[order[1:]] == node[order[:-1]])]
+    order = order[~same]  # repeated rows bring their set twice
+    start = np.flatnonzero(np.r_[True, comp[order[1:]] != comp[order[:-1]]]) if len(order) else []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a, b in zip(start, [*start[1:], len(order)], strict=True):
+        if b - a < 2:
+            continue
+        at = order[a:b]
+        own, sides = node[at], side[at]
+        link = _linked([np.frombuffer(grams[i], X.U64) for i in at.tolist()], threshold, int((sides == 0).sum()) if sides.any() else None)
         has = link.any(axis=1)
         if has.any():
-            order = np.argsort(node, kind="stable")
-            root = np.empty(len(node), np.int64)
-            root[order] = node[order][_roots(link[np.ix_(order, order)])]
-            out.append(pd.DataFrame({"node": node[has], "links": (link @ size)[has].astype(np.int64), "root": root[has]}))
-    return pd.concat(out) if out else pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+            by_node = np.argsort(own, kind="stable")
+            root = np.empty(len(own), np.int64)
+            root[by_node] = own[by_node][_roots(link[np.ix_(by_node, by_node)])]
+            out.append((own[has], (link @ size[at])[has].astype(np.int64), root[has]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return pd.DataFrame(dict(zip(("node", "links", "root"), cols, strict=True)))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -175,6 +182,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = sig.join(copies.select(F.col("node").alias("_row"), F.col("size")), "_row", "left_semi")
     cells = reps.select(F.col("_row").alias("node"), F.explode("_bands").alias("cell"))
     full = cells.groupBy("cell").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1").select("cell", "low")
+    full = materialise(full, "cells")  # on its own, so that the join below can split a frequent cell's partition
     star = cells.join(full, "cell").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     groups = connected_components(materialise(star, "star")).withColumnRenamed("label", "comp")
 
