@@ -4,6 +4,8 @@ Money becomes cents, dates become ``yyyymmdd``.  Each view exists twice, as a Da
 
 from __future__ import annotations
 
+from functools import cache, lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,11 @@ def _date(c: str):
     return (F.year(c) * 10000 + F.month(c) * 100 + F.dayofmonth(c)).cast("long")
 
 
+@lru_cache(maxsize=8)
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """One catalog for each session and folder: schemas and file lists are read once, data never kept."""
+
+    @cache
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
