@@ -136,6 +136,19 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code.view("<i8")[:, 0], np.ascontiguousarray(rest[0].T).view("<u4")[:, 0].astype(np.int64), np.ascontiguousarray(rest[1].T).view("<u4")[:, 0].astype(np.int64)
 
 
+def pack_sums(row: np.ndarray, value: np.ndarray) -> bytes:
+    """Ascending rows as differences in byte planes, and single-precision sums (added up in double precision)."""
+    gaps = np.diff(row, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return struct.pack("<I", len(row)) + zlib.compress(gaps.tobytes(), 1) + value.astype("<f4").tobytes()
+
+
+def unpack_sums(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = struct.unpack("<I", blob[:4])[0]
+    cut = len(blob) - 4 * m
+    gaps = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob[4:cut]), np.uint8).reshape(4, m).T).view("<u4")[:, 0]
+    return np.cumsum(gaps.astype(np.int64)), np.frombuffer(blob, "<f4", m, cut).astype(float)
+
+
 def explode(part_texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
     """Words of each row, the sum of what is settled map-side, and the packed entries of each hash partition."""
     n_rows = len(part_texts)
@@ -209,7 +222,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         out = pdf.loc[~has, ["slice", "ids", "words", "base"]].assign(sums=None)
         if has.any():
             scored = score_entries(pdf.loc[has, "cells"].tolist(), sent.value)
-            sums = [zlib.compress(struct.pack("<I", len(r)) + r.astype("<u4").tobytes() + s.astype("<f8").tobytes(), 1) for r, s in scored]
+            sums = [pack_sums(r, s) for r, s in scored]
             out = pd.concat([out, pd.DataFrame({"slice": pdf.loc[has, "slice"].to_numpy(), "ids": None, "words": None, "base": None, "sums": sums})])
         return out
 
@@ -217,9 +230,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         head = pdf[pdf["sums"].isna()].iloc[0]
         total = np.array(head["base"], float)
         for blob in pdf["sums"].dropna():
-            raw = zlib.decompress(blob)
-            m = struct.unpack("<I", raw[:4])[0]
-            total[np.frombuffer(raw, "<u4", m, 4)] += np.frombuffer(raw, "<f8", m, 4 + 4 * m)
+            row, value = unpack_sums(blob)
+            total[row] += value
         return pd.DataFrame({id_col: pd.Series(list(head["ids"]), dtype=object), "n_words": np.array(head["words"], np.int64), "log_score": total})
 
     back = docs.mapInArrow(emit, schema).groupBy("p").applyInPandas(join, f"slice long, ids array<{kind}>, words array<bigint>, base array<double>, sums binary")

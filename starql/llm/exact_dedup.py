@@ -2,12 +2,12 @@
 
 1. Every text is normalised and hashed once; ``(id, digest)`` is written to the shared folder.
 2. A Misra-Gries frequent-items summary over the digests (Spark's ``approx_top_k_accumulate`` per group of
-   input partitions, then ``approx_top_k_combine``) names every digest that may hold more than ``1/tracked``
-   of the rows.  The summary has a fixed size.
+   input partitions, then ``approx_top_k_combine``) names every digest that holds more than about ``4/tracked``
+   of the rows, the error bound of the summary, and most of the less frequent ones.  It has a fixed size.
 3. The candidates are verified by exact counts on the full digest, with map-side partial aggregation; the
    winner of each verified group (smallest id) is broadcast: at most ``tracked`` rows.
 4. Rows with a verified digest get their answer map-side.  All other digests are shuffled by digest; no such
-   group can hold more than ``1/tracked`` of the rows.
+   group can hold more than the error bound's share of the rows.
 
 Defined results: null text counts as empty; equal ids with equal text (repeated rows) keep exactly one row;
 a null id sorts after all others, so it is kept only where the whole group has null ids; an empty table gives

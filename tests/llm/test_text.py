@@ -285,6 +285,9 @@ def test_packing():
     code, row, n = r.integers(0, 1 << 40, 500), r.integers(0, 70_000, 500), r.integers(1, 300, 500)
     got = backoff_lm.unpack(backoff_lm.pack(code, row, n))
     assert sorted(zip(*map(list, got))) == sorted(zip(code.tolist(), row.tolist(), n.tolist()))
+    rows, sums = np.unique(row), r.normal(size=len(np.unique(row)))
+    a, b = backoff_lm.unpack_sums(backoff_lm.pack_sums(rows, sums))
+    assert a.tolist() == rows.tolist() and np.allclose(b, sums, rtol=1e-6)
 
 
 def test_queries_are_registered(spark):
