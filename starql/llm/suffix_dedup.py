@@ -7,9 +7,9 @@ A corpus is far too long for one array, so it is cut into small problems that lo
    as two occurrences of one anchor gram.  Grams that occur once are dropped (counts with map-side aggregation).
 2. Around an anchor, only ``SPAN - GRAM`` bytes on either side can belong to its strings: its *slice*.  Equal slices
    of one gram are copies; they are collapsed, and a slice with two occurrences is repeated as a whole.
-3. The different slices of a gram are brought together.  On either side, their contents are cut where any two of
-   them part, so pieces can stand for symbols: two slices share exactly the pieces before the place where they
-   part.  The suffix array of these strings (``suffix_array``: Lyndon groups taken in descending order, then emitted,
+3. The different slices of a gram are brought together.  On either side, their contents are paths through a compact
+   trie, whose edges stand for symbols: two slices share exactly the edges before the place where they part.  The
+   suffix array of these strings (``suffix_array``: Lyndon groups taken in descending order, then emitted,
    without renaming) brings the longest common continuation next to each suffix, and from the common prefixes
    with both neighbours follows the largest stretch around the anchor that repeated strings cover.
 4. Stretches are collected for each text, merged and cut out of its bytes.
@@ -39,6 +39,8 @@ SPAN = 400
 GRAM = 256
 MARGIN = SPAN - GRAM
 LARGE = 512
+#: Symbols of one suffix array (some 300 bytes of working memory each).
+SYMBOLS = 500_000
 #: Lists of up to this many entries in all (some 5 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ENTRIES = 100_000
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
@@ -96,38 +98,50 @@ def _anchor_rows(docs: DataFrame, full: bool) -> DataFrame:
     return docs.mapInArrow(run, f"gram long, part long, _id {kind}, _hash long, pos long, lm int, rm int" if full else "gram long, n long")
 
 
-def _cut(sides: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For strings that are compared from their first byte: each as (piece number, end), cut where any two part.
+def _paths(sides: list[bytes]) -> list[list[tuple[int, int]]]:
+    """The path of each string through the compact trie of all: (edge number, depth at its end) from the root on.
 
-    Pieces at one place have the same number exactly if they and all before them are equal."""
+    Two strings share exactly the edges before the place where they part."""
     order = sorted(range(len(sides)), key=sides.__getitem__)
-    common = [0] * len(sides)
-    for k in range(1, len(order)):
-        a, b = sides[order[k - 1]], sides[order[k]]
-        m = min(len(a), len(b))
-        x = int.from_bytes(a[:m]) ^ int.from_bytes(b[:m])
-        common[k] = m - (x.bit_length() + 7) // 8
-    ends = sorted({*common[1:], *map(len, sides)} - {0})
-    out: list[list[tuple[int, int]]] = [[] for _ in sides]
-    number, last = {}, [0] * len(ends)
-    for k, i in enumerate(order):
-        pieces = []
-        for d, end in enumerate(ends):
-            if end > len(sides[i]):
-                break
-            if k == 0 or common[k] < end:
-                last[d] = number.setdefault((d, i), len(number) + 1)
-            pieces.append((last[d], end))
-        out[i] = pieces
+    depth, parent, stack, leaf = [0], [0], [0], [0] * len(sides)
+    before = b""
+    for i in order:
+        own = sides[i]
+        m = min(len(before), len(own))
+        shared = m - ((int.from_bytes(before[:m]) ^ int.from_bytes(own[:m])).bit_length() + 7) // 8
+        last = 0
+        while depth[stack[-1]] > shared:
+            last = stack.pop()
+        if depth[stack[-1]] < shared:
+            depth.append(shared)
+            parent.append(stack[-1])
+            parent[last] = len(depth) - 1
+            stack.append(len(depth) - 1)
+        if len(own) > shared:
+            depth.append(len(own))
+            parent.append(stack[-1])
+            stack.append(len(depth) - 1)
+        leaf[i] = stack[-1]
+        before = own
+    out = []
+    for at in leaf:
+        path = []
+        while at:
+            path.append((at, depth[at]))
+            at = parent[at]
+        out.append(path[::-1])
     return out
 
 
-def repeated_stretches(slices: list[tuple[bytes, int, bytes]], span: int = SPAN, gram: int = GRAM) -> list[tuple[int, int] | None]:
+def repeated_stretches(slices: list[tuple[bytes, int, bytes]], span: int = SPAN, gram: int = GRAM, most: int | None = None) -> list[tuple[int, int] | None] | None:
     """For each slice (left margin, identity of its gram, right margin): the bytes left and right of the gram that
-    strings of ``span`` bytes shared with another slice cover, or None.  The slices differ from one another."""
-    lefts, rights = _cut([s[0][::-1] for s in slices]), _cut([s[2] for s in slices])
+    strings of ``span`` bytes shared with another slice cover, or None.  The slices differ from one another.
+    Instead of a result there is None if it would take a suffix array of more than ``most`` symbols."""
+    lefts, rights = _paths([s[0][::-1] for s in slices]), _paths([s[2] for s in slices])
+    if most is not None and sum(map(len, lefts)) + sum(map(len, rights)) + 2 * len(slices) > most:
+        return None
     base = 1 + len(slices)
-    width = 1 + max((p[0] for side in (*lefts, *rights) for p in side), default=0)
+    width = 2 * len(slices) + 1
     grams = {g: base + 2 * width + k for k, g in enumerate(sorted({s[1] for s in slices}))}
     text: list[int] = []
     home: list[tuple[int, int]] = []
@@ -162,8 +176,8 @@ def _merge(best: list, found: list, at: list[int]) -> None:
             best[i] = (max(old[0], f[0]), max(old[1], f[1]))
 
 
-def stretches(slices: list[tuple[bytes, int, bytes]], large: int, span: int = SPAN, gram: int = GRAM) -> list[tuple[int, int] | None]:
-    """``repeated_stretches`` with suffix arrays of at most ``large`` slices.
+def stretches(slices: list[tuple[bytes, int, bytes]], most: int = SYMBOLS, span: int = SPAN, gram: int = GRAM) -> list[tuple[int, int] | None]:
+    """``repeated_stretches`` with suffix arrays of at most some ``most`` symbols.
 
     A larger group is divided by what its members share next to their common core: a common string that reaches to
     one side of the core by half the missing bytes, or to the other side by the other half, has that half in full.
@@ -174,13 +188,15 @@ def stretches(slices: list[tuple[bytes, int, bytes]], large: int, span: int = SP
     while todo:
         who, lo, hi = todo.pop()
         missing = span - gram - lo - hi
-        if len(who) <= large:
-            _merge(best, repeated_stretches([slices[i] for i in who], span, gram), who)
+        found = repeated_stretches([slices[i] for i in who], span, gram, most)
+        if found is not None:
+            _merge(best, found, who)
         elif not missing:
+            step = max(2, most // (2 * span))
             for side in (lambda i: (slices[i][0][::-1], slices[i][1]), lambda i: (slices[i][2], slices[i][1])):
                 order = sorted(who, key=side)
-                for k in range(0, len(order) - 1, large - 1):
-                    run = order[k : k + large]
+                for k in range(0, len(order) - 1, step - 1):
+                    run = order[k : k + step]
                     _merge(best, repeated_stretches([slices[i] for i in run], span, gram), run)
         else:
             x, y = lo + (missing + 1) // 2, hi + missing - (missing + 1) // 2 + 1
@@ -195,7 +211,7 @@ def stretches(slices: list[tuple[bytes, int, bytes]], large: int, span: int = SP
     return best
 
 
-def _resolve(pdf: pd.DataFrame, large: int) -> pd.DataFrame:
+def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     gram, side, part, check = (pdf[c].to_numpy() for c in ("gram", "side", "part", "check"))
     left, right = pdf["l"].tolist(), pdf["r"].tolist()
     order = np.lexsort((part, side, gram))
@@ -206,7 +222,7 @@ def _resolve(pdf: pd.DataFrame, large: int) -> pd.DataFrame:
     for a, b in zip(start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
         if b - a > 1:
             at = order[a:b].tolist()
-            found = stretches([(left[i], int(check[i]), right[i]) for i in at], large)
+            found = stretches([(left[i], int(check[i]), right[i]) for i in at])
             out += [(int(gram[i]), int(part[i]), *f) for i, f in zip(at, found, strict=True) if f]
     return pd.DataFrame(out, columns=["gram", "part", "a", "b"]).astype("int64")
 
@@ -266,7 +282,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bins = max(16, want.count() // 100)
     # Small groups share a bin; a divided group has its own key for each half.
     key = F.when(F.col("side") == 0, F.pmod(F.xxhash64("gram"), F.lit(bins))).otherwise(F.xxhash64("gram", "side"))
-    found = open_.withColumn("k", key).groupBy("k").applyInPandas(lambda pdf: _resolve(pdf, large), "gram long, part long, a long, b long")
+    found = open_.withColumn("k", key).groupBy("k").applyInPandas(_resolve, "gram long, part long, a long, b long")
     stretch = whole.unionByName(found).groupBy("gram", "part").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     stretch = materialise(stretch, "stretches")
 

@@ -122,8 +122,8 @@ def test_suffix_array():
                 assert a[:n] == b[:n] and (len(a) == n or len(b) == n or a[n] != b[n])
 
 
-@pytest.mark.parametrize("large", [2, 3, 5])
-def test_divided_groups_give_the_same_stretches(large):
+@pytest.mark.parametrize("most", [4, 30, 60])
+def test_divided_groups_give_the_same_stretches(most):
     r = random.Random(7)
     for _ in range(150):
         left, right = "".join(r.choice("ab") for _ in range(8)), "".join(r.choice("ab") for _ in range(8))
@@ -148,7 +148,7 @@ def test_divided_groups_give_the_same_stretches(large):
                         b.append(o)
             want.append((max(a), max(b)) if len(a) > 1 else None)
         assert repeated_stretches(slices, 12, 4) == want
-        assert stretches(slices, large, 12, 4) == want
+        assert stretches(slices, most, 12, 4) == want
 
 
 def brute_repeats(texts, span=400):
