@@ -38,9 +38,9 @@ from .suffix_array import common_prefixes, suffix_array
 SPAN = 400
 GRAM = 256
 MARGIN = SPAN - GRAM
-LARGE = 512
+LARGE = 4096
 #: Symbols of one suffix array (some 300 bytes of working memory each).
-SYMBOLS = 500_000
+SYMBOLS = 300_000
 #: Lists of up to this many entries in all (some 5 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ENTRIES = 100_000
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
@@ -179,35 +179,39 @@ def _merge(best: list, found: list, at: list[int]) -> None:
 def stretches(slices: list[tuple[bytes, int, bytes]], most: int = SYMBOLS, span: int = SPAN, gram: int = GRAM) -> list[tuple[int, int] | None]:
     """``repeated_stretches`` with suffix arrays of at most some ``most`` symbols.
 
-    A larger group is divided by what its members share next to their common core: a common string that reaches to
-    one side of the core by half the missing bytes, or to the other side by the other half, has that half in full.
-    When whole strings are shared, each side's longest continuation is next to it in the order of that side, so runs
-    of that order, overlapping by one, are enough."""
+    A larger group is divided by what its members share next to their common core: a common string that reaches ``x``
+    bytes or more to the left of the gram has those in full, any other reaches ``y`` bytes or more to the right.  For
+    the first kind, margins beyond ``y - 1`` to the right are left to the second, and the other way round, so the
+    division does not add work.  When whole strings are shared, each side's longest continuation is next to it in the
+    order of that side, so runs of that order, overlapping by one, are enough."""
     best: list[tuple[int, int] | None] = [None] * len(slices)
-    todo = [(list(range(len(slices))), 0, 0)]
+    todo = [(list(range(len(slices))), 0, 0, span - gram, span - gram)]
     while todo:
-        who, lo, hi = todo.pop()
+        who, lo, hi, most_left, most_right = todo.pop()
+        cut = [(left[max(0, len(left) - most_left) :], mid, right[:most_right]) for left, mid, right in (slices[i] for i in who)]
         missing = span - gram - lo - hi
-        found = repeated_stretches([slices[i] for i in who], span, gram, most)
+        found = repeated_stretches(cut, span, gram, most)
         if found is not None:
             _merge(best, found, who)
         elif not missing:
             step = max(2, most // (2 * span))
-            for side in (lambda i: (slices[i][0][::-1], slices[i][1]), lambda i: (slices[i][2], slices[i][1])):
-                order = sorted(who, key=side)
-                for k in range(0, len(order) - 1, step - 1):
-                    run = order[k : k + step]
-                    _merge(best, repeated_stretches([slices[i] for i in run], span, gram), run)
+            for side in (lambda k: (cut[k][0][::-1], cut[k][1]), lambda k: (cut[k][2], cut[k][1])):
+                order = sorted(range(len(who)), key=side)
+                for at in range(0, len(order) - 1, step - 1):
+                    run = order[at : at + step]
+                    _merge(best, repeated_stretches([cut[k] for k in run], span, gram), [who[k] for k in run])
         else:
-            x, y = lo + (missing + 1) // 2, hi + missing - (missing + 1) // 2 + 1
+            x = lo + (missing + 1) // 2
+            y = span - gram - x + 1
             parts: dict[tuple, list[int]] = {}
-            for i in who:
-                left, mid, right = slices[i]
+            for i, (left, mid, right) in zip(who, cut, strict=True):
                 if len(left) >= x:
                     parts.setdefault(("l", mid, left[len(left) - x :]), []).append(i)
-                if len(right) >= y and y <= span - gram:
+                if len(right) >= y:
                     parts.setdefault(("r", mid, right[:y]), []).append(i)
-            todo += [(group, x if key[0] == "l" else lo, hi if key[0] == "l" else y) for key, group in parts.items() if len(group) > 1]
+            for (kind, *_), group in parts.items():
+                if len(group) > 1:
+                    todo.append((group, x, hi, most_left, y - 1) if kind == "l" else (group, lo, y, x - 1, most_right))
     return best
 
 
