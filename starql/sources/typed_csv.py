@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,17 +32,27 @@ def read_header(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
-    header = read_header(spark, path)
-    raw = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(header))])
-    # No text can equal the null marker, so the reader makes no nulls of its own from NULL or empty fields.
-    df = spark.read.csv(path, schema=raw, header=True, quote='"', escape='"', nullValue="\x01", emptyValue="", mode="FAILFAST", enforceSchema=True)
+#: No text can equal the null marker, so the reader makes no nulls of its own from NULL or empty fields.
+OPTIONS = {"header": True, "quote": '"', "escape": '"', "nullValue": "\x01", "emptyValue": "", "mode": "FAILFAST", "enforceSchema": True}
+
+
+def raw_schema(header: list[tuple[str, str]]) -> T.StructType:
+    return T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(header))])
+
+
+def typed_columns(header: list[tuple[str, str]]) -> list[Column]:
+    """Typed columns from the all-text columns of ``raw_schema``."""
     cols = []
     for k, (name, kind) in enumerate(header):
         text = F.coalesce(F.col(f"c{k}"), F.lit(""))
         value = F.when(text == "NULL", F.lit(None).cast("string")).otherwise(text)
         cols.append((value.cast("long") if kind == "int" else value).alias(name))
-    return df.select(*cols)
+    return cols
+
+
+def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
+    header = read_header(spark, path)
+    return spark.read.schema(raw_schema(header)).options(**OPTIONS).csv(path).select(*typed_columns(header))
 
 
 def write_typed_csv(df: DataFrame, path: str) -> None:
