@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog, ForeignKey
+from ..sources.sizes import broadcast_if_small
 
 
 def _cents(c: str):
@@ -33,7 +34,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         n = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         df = read(table).join(n, F.col(f"{p}_nationkey") == F.col("n_nationkey"))
         city = F.concat(F.col("n_name"), F.lit("#"), (F.col(key) % 10).cast("string"))
-        return df.select(F.col(key), F.col("n_name").alias(f"{p}_nation"), F.col("r_name").alias(f"{p}_region"), city.alias(f"{p}_city"))
+        out = df.select(F.col(key), F.col("n_name").alias(f"{p}_nation"), F.col("r_name").alias(f"{p}_region"), city.alias(f"{p}_city"))
+        return broadcast_if_small(out, read(table), read("nation"), read("region"))
 
     def lineorder() -> DataFrame:
         price, off = _cents("l_extendedprice"), _cents("l_discount")

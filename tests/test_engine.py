@@ -182,3 +182,17 @@ def test_random_queries_agree_with_duckdb(spark):
         for options in ({}, {"rewrites": ALL}):
             got = sorted(repr(tuple(r)) for r in Engine(cat, **options).sql(to_sql(q)).collect())
             assert got == want, to_sql(q)
+
+
+def test_sorted_table_skips_files(spark, tmp_path):
+    from starql.sources.sorted_table import add_sorted, write_sorted
+
+    df = spark.range(4000).selectExpr("(id * 7919) % 4000 AS id", "id AS v")
+    write_sorted(df, str(tmp_path / "t"), "id", files=4)
+    cat = add_sorted(Catalog(spark), "t", str(tmp_path / "t"), "id")
+    out = Engine(cat).sql("SELECT t.id, t.v FROM t WHERE t.id >= 8 AND t.id < 12 AND t.v <> 5 ORDER BY t.id")
+    assert [r.id for r in out.collect()] == [8, 9, 10, 11]
+    assert "PushedFilters: [IsNotNull(id), IsNotNull(v), GreaterThanOrEqual(id,8), LessThan(id,12)" in out._jdf.queryExecution().executedPlan().toString()
+    files = spark.read.parquet(str(tmp_path / "t")).selectExpr("input_file_name() AS f", "id").groupBy("f").agg({"id": "count"}).count()
+    assert files == 4
+    assert ("t", "id") in cat.sorted_indexes
