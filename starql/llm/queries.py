@@ -93,10 +93,44 @@ FROM n
 """
 
 
+#: All pairs over common 5-grams, and classes by transitive closure.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS t FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i : array_to_string(t[i:i + 4], ' '))
+                                      WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (SELECT x, y FROM p JOIN n n1 ON x = n1.doc_id JOIN n n2 ON y = n2.doc_id WHERE k >= 0.8 * (n1.c + n2.c - k)
+), r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+)
+SELECT d.doc_id, least(d.doc_id, coalesce(m.low, d.doc_id)) AS class_id, CAST(coalesce(q.c, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN (SELECT x, min(y) AS low FROM r GROUP BY x) m ON d.doc_id = m.x LEFT JOIN (SELECT x, count(*) AS c FROM l GROUP BY x) q ON d.doc_id = q.x
+"""
+
+
+#: Every 400-byte window of every text, as hexadecimal digits.
+OP10_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM b)),
+d AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS first FROM d),
+m AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM m GROUP BY doc_id, run),
+e AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM r),
+c AS (SELECT e.doc_id, sum(hi - lo) AS gone, count(*) AS runs, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept
+      FROM e JOIN b ON e.doc_id = b.doc_id GROUP BY e.doc_id)
+SELECT b.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN c ON b.doc_id = c.doc_id
+"""
+
+
 def queries() -> dict:
     found = (op1_secret_scan, op2_language_id, op3_ngram_jaccard_join, op4_url_filter, op5_quality, op6_exact_dedup, op7_decontamination, op8_bpe, op9_lm_scoring, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_suffix_dedup": OP10_SQL}
