@@ -24,15 +24,34 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders that ``materialise`` has written, by application.
+_written: dict[str, list[str]] = {}
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost executor
-    costs a re-read instead of a recomputation."""
+    costs a re-read instead of a recomputation.  ``release`` removes the folders of results no longer needed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/starql-{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Removes intermediate folders; DataFrames that read them can't be used afterwards."""
+    conf, known = spark._jsc.hadoopConfiguration(), _written.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        if path in known:
+            known.remove(path)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """The evaluation fold: crc32 of the id as text, modulo 4, is 2.  A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -11,6 +11,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from starql.llm import minhash_join as M  # noqa: E402
 from starql.llm import textops as X  # noqa: E402
+from starql.llm.common import written  # noqa: E402
 from starql.llm.queries import tokenizer_file  # noqa: E402
 
 from .data import corpus, odd, prose  # noqa: E402
@@ -101,7 +102,10 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run_and_empty_tables(spark, folder, tmp_path):
     sf, _ = folder
-    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids"]
+    before = written(spark)
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 50
+    assert len(written(spark)) == len(before) + 1  # intermediate tables are gone
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
