@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starql.llm.bpe import bpe_encode
-from starql.llm.common import materialise
+from starql.llm.common import materialise, release, written
 from starql.llm.decontaminate import decontaminate
 from starql.llm.exact_dedup import exact_dedup
 from starql.llm.mil_quality import THRESHOLD, score_quality
@@ -58,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies all stages; what a stage wrote on its way, and its input, are removed once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = written(spark)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        own = [p for p in written(spark) if p not in before]
+        release(spark, own[:-1])  # the last one is this stage's result
     return docs
