@@ -59,6 +59,7 @@ class Compiler:
         if join_hint is not None and join_hint not in JOIN_HINTS:
             raise ValueError(f"join_hint: one of {', '.join(JOIN_HINTS)}")
         self.catalog, self.hint, self.serial = catalog, join_hint, count()
+        self.wanted: dict[int, set[str] | None] = {}
 
     def fresh(self, name: str) -> str:
         return f"_{next(self.serial)}_" + "".join(ch if ch.isalnum() else "_" for ch in name)
@@ -91,8 +92,9 @@ class Compiler:
         raise TypeError(op)
 
     def scan(self, t: A.Table) -> Rel:
-        df = self.catalog.table(t.name)
-        cols = tuple(Col(t.visible, f.name, type_of(f.dataType), self.fresh(f.name)) for f in df.schema.fields)
+        df, wanted = self.catalog.table(t.name), self.wanted.get(id(t))
+        fields = [f for f in df.schema.fields if wanted is None or f.name.lower() in wanted]
+        cols = tuple(Col(t.visible, f.name, type_of(f.dataType), self.fresh(f.name)) for f in fields)
         picked = [(F.col(f"`{c.name}`").cast("long") if c.type == INT else F.col(f"`{c.name}`")).alias(c.ref) for c in cols]
         return Rel(df.select(*picked), cols)
 
@@ -149,6 +151,7 @@ class Compiler:
     def query(self, q: A.Query) -> Rel:
         """The relation in the order asked for; sort keys may be output aliases or columns below the projection."""
         op = q.op
+        self.wanted = wanted_columns(op, {k.attr.name.lower() for k in q.order})
         if not q.order:
             return self.rel(op)
         if not isinstance(op, A.Project):
@@ -169,6 +172,32 @@ class Compiler:
         return Rel(rel.df.orderBy(*keys).select(*[c.ref for c in rel.cols]), rel.cols)
 
 
+def wanted_columns(op: A.Op, always: set[str]) -> dict[int, set[str] | None]:
+    """For each scan, the names its columns must have to be of use (None: all).  Catalyst would drop the others too;
+    leaving them out keeps the plans that it has to analyse small."""
+    out: dict[int, set[str] | None] = {}
+
+    def names(*exprs: A.Expr) -> set[str]:
+        return {a.name.lower() for e in exprs for a in A.attrs(e)} | always
+
+    def visit(o: A.Op, need: set[str] | None) -> None:
+        match o:
+            case A.Table():
+                out[id(o)] = None if need is None or out.get(id(o), need) is None else need | out.get(id(o), set())
+                return
+            case A.Project(_, exprs, _):
+                need = None if any(isinstance(e, A.Star) for e in exprs) else names(*exprs)
+            case A.Aggregate(_, groups, aggs, _):
+                need = names(*groups, *aggs)
+            case A.Filter(_, e) | A.Join(_, _, _, e):
+                need = None if need is None else need | names(e)
+        for x in A.inputs(o):
+            visit(x, need)
+
+    visit(op, None)
+    return out
+
+
 def _sort(c: Column, k: A.SortKey) -> Column:
     """NULLs come last in either direction."""
     return c.desc_nulls_last() if k.descending else c.asc_nulls_last()

@@ -75,6 +75,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     c.add("t_lineitem", items).add("holes", holes)
     c.add("lineorder", lineorder).add("date_dim", date_dim).add("part_dim", part_dim)
     c.add("customer_dim", lambda: located("customer", "c", "c_custkey")).add("supplier_dim", lambda: located("supplier", "s", "s_suppkey"))
+    c.readers = {name: cache(reader) for name, reader in c.readers.items()}
     c.unique |= {("t_orders", "o_orderkey"), ("t_part", "p_partkey"), ("t_supplier", "s_suppkey"), ("t_customer", "c_custkey"), ("t_nation", "n_nationkey"), ("t_region", "r_regionkey")}
     c.foreign_keys |= {ForeignKey("t_lineitem", "l_orderkey", "t_orders", "o_orderkey"), ForeignKey("t_lineitem", "l_partkey", "t_part", "p_partkey"), ForeignKey("t_orders", "o_custkey", "t_customer", "c_custkey"), ForeignKey("t_nation", "n_regionkey", "t_region", "r_regionkey")}
     return c
