@@ -1,17 +1,14 @@
-"""Language-model scoring: stupid backoff over word bigrams of the whole corpus, computed relationally.
+"""Language-model scoring: stupid backoff over word n-grams of the whole corpus, computed relationally.
 
-Words are hashed to ``2**20`` vocabulary entries (a parameter of the model, so the unigram table has a fixed size).
+Words and n-grams are keyed by 64-bit hashes; every count table is hash-partitioned and grows with the corpus.
 The score of word w after v is count(v w) / count(v) if the bigram stands at least ``MIN_COUNT`` times in the corpus, else
 ``ALPHA`` * count(w) / N; the first word of a text gets count(w) / N.  A text's score is the sum of logarithms.
 
-1. Unigrams are counted over all texts in 64 ranges of the vocabulary, each task sending its own sums; the table (8 MB)
-   is broadcast.  So are exact counts of up to ``HOT`` bigrams that are frequent in a bounded sample: those are settled
-   map-side and never shuffled, which is a matter of load only; any set of them gives the same scores.
-2. All other bigrams of all texts are exploded to (bigram, text, count), packed by slice of the input, and shuffled by
-   bigram hash.  Each hash partition counts its bigrams (the count table of that partition), joins the counts to its
-   entries and sums the logarithms for each text.
-3. Partial sums go back by slice and are added up.  No more than a slice of texts or a hash partition of entries is
-   ever in one task, and both are sized by parameters, not by the data's groups.
+1. The words N of all texts are counted.
+2. Each slice of the input sends its distinct words and n-grams with their counts, packed, to ranges of the hash, and its
+   texts, deflated, along with one of them.  A range adds up its counts and answers each slice in the order of its keys.
+3. Answers and texts meet by slice and are scored there.  No more than a slice of texts or a range of keys is ever in
+   one task, and both are sized by parameters, not by the data's groups: a key comes once from a slice, however frequent.
 
 Defined results: a null or wordless text has no words and score 0; repeated rows are scored each and count in the
 corpus each; ids may be null or repeated; an empty table gives an empty result; extra columns are not carried."""
@@ -30,110 +27,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .common import bounded_sample
+from .common import SLICE_BYTES
 
-BITS = 20
-V = 1 << BITS
-RANGES = 64
 MIN_COUNT = 2
 ALPHA = 0.4
-HOT = 4096
-SAMPLE = 1500
-#: Entries of one hash partition.
+#: Keys of one hash partition, at most.
 PER_PARTITION = 2_000_000
 
 
 def word_ids(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary entry and row of every word."""
+    """64-bit hash and row of every word."""
     data, offsets = X.buffers(col, lower=True)
     s, e, rows = X.words(data, offsets)
-    return (X.span_hashes(data, s, e) >> X.U64(64 - BITS)).astype(np.int64), rows
+    return X.span_hashes(data, s, e), rows
 
 
-def bigrams(w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    same = np.flatnonzero(rows[1:] == rows[:-1]) if len(rows) else np.zeros(0, np.int64)
-    return w[same] << BITS | w[same + 1], rows[same]
+def grams(w: np.ndarray, rows: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each length up to ``order``: the hashes of all n-grams, and the index of the last word of each."""
+    found = [(w, np.arange(len(w)))]
+    for k in range(2, order + 1):
+        code, _, at = X.ngrams(w, rows, k)
+        found.append((code, at + k - 1))
+    return [c for c, _ in found], [e for _, e in found]
 
 
-def _places(table: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Index in the sorted table, or -1."""
-    if not len(table):
-        return np.full(len(code), -1)
-    k = np.minimum(np.searchsorted(table, code), len(table) - 1)
-    return np.where(table[k] == code, k, -1)
-
-
-def frequent_bigrams(docs: DataFrame, sample: int = SAMPLE, hot: int = HOT) -> np.ndarray:
-    """Sorted codes of bigrams that are frequent in a bounded sample of rows."""
-    ids = bounded_sample(docs, "_id", F.lit("all"), sample).select("_id")
-
+def count_words(docs: DataFrame) -> int:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
         for batch in batches:
             for part in X.slices(batch, "_text"):
-                code, n = np.unique(bigrams(*word_ids(X.column(part, "_text")))[0], return_counts=True)
-                top = np.argsort(-n, kind="stable")[: 2 * hot]
-                yield pa.RecordBatch.from_pydict({"code": code[top], "n": n[top].astype(np.int64)})
+                n += len(X.words(*X.buffers(X.column(part, "_text"), lower=True))[0])
+        yield pa.RecordBatch.from_pydict({"n": [n]})
 
-    got = docs.join(F.broadcast(ids), "_id", "left_semi").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r.code for r in got.where("n > 3").orderBy(F.desc("n"), "code").limit(hot).collect()], np.int64))
+    return int(docs.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0)
 
 
-def count_tables(docs: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all vocabulary entries and of the ``hot`` bigrams over all texts."""
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    return x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uni, two = np.zeros(V, np.int64), np.zeros(len(hot), np.int64)
-        for batch in batches:
-            for part in X.slices(batch, "_text"):
-                w, rows = word_ids(X.column(part, "_text"))
-                uni += np.bincount(w, minlength=V)
-                k = _places(hot, bigrams(w, rows)[0])
-                two += np.bincount(k[k >= 0], minlength=len(hot))
-        if uni.any():
-            blobs = [zlib.compress(x.tobytes(), 1) for x in [*uni.reshape(RANGES, -1), two]]
-            yield pa.RecordBatch.from_pydict({"k": pa.array(range(RANGES + 1), pa.int32()), "counts": pa.array(blobs, pa.binary())})
-
-    def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = 0
-        for pdf in parts:
-            for blob in pdf["counts"]:
-                total = total + np.frombuffer(zlib.decompress(blob), np.int64)
-        yield pd.DataFrame({"k": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    got = docs.mapInArrow(count, "k int, counts binary").groupBy("k").applyInPandas(add, "k int, counts binary").collect()
-    parts = {r.k: np.frombuffer(zlib.decompress(r.counts), np.int64) for r in got}
-    uni = np.concatenate([parts[k] for k in range(RANGES)]) if parts else np.zeros(V, np.int64)
-    return uni, parts.get(RANGES, np.zeros(len(hot), np.int64))
-
-
-class Model:
-    """Logarithms of counts; ``value`` gives the score of bigrams from their counts."""
-
-    def __init__(self, uni: np.ndarray, hot: np.ndarray, hot_count: np.ndarray, partitions: int):
-        self.total = max(int(uni.sum()), 1)
-        self.log1 = np.log(np.maximum(uni, 1))
-        self.hot, self.hot_count, self.partitions = hot, hot_count, partitions
-
-    def value(self, code: np.ndarray, count: np.ndarray) -> np.ndarray:
-        v, w = code >> BITS, code & (V - 1)
-        seen = np.log(np.maximum(count, 1)) - self.log1[v]
-        return np.where(count >= MIN_COUNT, seen, np.log(ALPHA) + self.log1[w] - np.log(self.total))
-
-
-def pack(code: np.ndarray, row: np.ndarray, n: np.ndarray) -> bytes:
-    """Entries sorted by code: 5 bytes of code in planes, row, count; then deflated."""
+
+def _whole(raw: np.ndarray, m: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(-1, m).T).view(kind)[:, 0] if m else np.zeros(0, kind)
+
+
+def pack(code: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Entries sorted by code: code and columns (of 32 bits) in byte planes; then deflated."""
     order = np.argsort(code, kind="stable")
-    raw = code[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
-    return struct.pack("<I", len(code)) + zlib.compress(raw + row[order].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + n[order].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    raw = _planes(code[order], "<i8") + b"".join(_planes(c[order], "<u4") for c in columns)
+    return struct.pack("<I", len(code)) + zlib.compress(raw, 1)
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     m = struct.unpack("<I", blob[:4])[0]
     raw = np.frombuffer(zlib.decompress(blob[4:]), np.uint8)
-    code = np.zeros((m, 8), np.uint8)
-    code[:, :5] = raw[: 5 * m].reshape(5, m).T
-    rest = raw[5 * m :].reshape(2, 4, m)
-    return code.view("<i8")[:, 0], np.ascontiguousarray(rest[0].T).view("<u4")[:, 0].astype(np.int64), np.ascontiguousarray(rest[1].T).view("<u4")[:, 0].astype(np.int64)
+    return _whole(raw[: 8 * m], m, "<i8"), *(_whole(raw[a : a + 4 * m], m, "<u4").astype(np.int64) for a in range(8 * m, len(raw), 4 * m or 1))
 
 
 def pack_sums(row: np.ndarray, value: np.ndarray) -> bytes:
@@ -149,90 +96,95 @@ def unpack_sums(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps.astype(np.int64)), np.frombuffer(blob, "<f4", m, cut).astype(float)
 
 
-def explode(part_texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
-    """Words of each row, the sum of what is settled map-side, and the packed entries of each hash partition."""
-    n_rows = len(part_texts)
-    w, rows = word_ids(part_texts)
-    words = np.bincount(rows, minlength=n_rows)
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
-    base = np.bincount(rows[first], model.log1[w[first]] - np.log(model.total), n_rows)
-    code, who = bigrams(w, rows)
-    k = _places(model.hot, code)
-    known = k >= 0
-    base += np.bincount(who[known], model.value(code[known], model.hot_count[k[known]]), n_rows)
-    code, who = code[~known], who[~known]
-    key, n = np.unique(who << 2 * BITS | code, return_counts=True)
-    code, who = key & ((1 << 2 * BITS) - 1), key >> 2 * BITS
-    p = (X.mix(code.astype(X.U64)) % X.U64(model.partitions)).astype(np.int64)
-    order = np.argsort(p, kind="stable")
-    code, who, n, p = code[order], who[order], n[order], p[order]
+def pack_texts(texts: pa.Array) -> tuple[bytes, list[int]]:
+    data, offsets = X.buffers(texts)
+    return zlib.compress(data.tobytes(), 1), np.diff(offsets).tolist()
+
+
+def unpack_texts(blob: bytes, sizes: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(sizes)].astype("<i8")
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(zlib.decompress(blob)))
+
+
+def keys(texts: pa.Array, order: int, partitions: int) -> list[tuple[int, bytes]]:
+    """The distinct n-grams of a slice with their counts, packed for each range of the hash in ascending order."""
+    code, n = np.unique(np.concatenate(grams(*word_ids(texts), order)[0]), return_counts=True)
+    p = ((code >> X.U64(32)) * X.U64(partitions) >> X.U64(32)).astype(np.int64)
     heads = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
     ends = np.r_[heads[1:], len(p)]
-    return words, base, [(int(p[a]), pack(code[a:b], who[a:b], n[a:b])) for a, b in zip(heads, ends, strict=True)]
+    return [(int(p[a]), pack(code[a:b], n[a:b])) for a, b in zip(heads, ends, strict=True)]
 
 
-def score_entries(blobs: list[bytes], model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each packed slice: rows and their sums, with counts taken over all slices of the hash partition."""
+def add_counts(blobs: list[bytes]) -> list[bytes]:
+    """For each packed slice: the counts of its keys over all slices, in the order of the keys."""
     parts = [unpack(b) for b in blobs]
-    code, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[2] for x in parts])
-    _, inverse = np.unique(code, return_inverse=True)
-    count = np.bincount(inverse, n)[inverse]
-    value = n * model.value(code, count)
-    out, at = [], 0
-    for _, row, _ in parts:
-        sums = np.bincount(row, value[at : at + len(row)])
-        at += len(row)
-        own = np.unique(row)
-        out.append((own, sums[own]))
-    return out
+    _, inverse = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    count = np.bincount(inverse, np.concatenate([x[1] for x in parts])).astype(np.int64)[inverse]
+    ends = np.cumsum([len(x[0]) for x in parts])
+    return [zlib.compress(_planes(c, "<u8"), 1) for c in np.split(count, ends[:-1])]
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+    return _whole(raw, len(raw) // 8, "<u8").astype(np.int64)
+
+
+def score_slice(texts: pa.Array, counts: np.ndarray, order: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and score of each row of a slice, from the corpus counts of its distinct n-grams."""
+    w, rows = word_ids(texts)
+    codes, last = grams(w, rows, order)
+    _, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+    each = np.split(counts[inverse], np.cumsum([len(c) for c in codes])[:-1])
+    score, context = np.log(np.maximum(each[0], 1)) - np.log(total), each[0]
+    for count, e in zip(each[1:], last[1:], strict=True):
+        seen = np.log(np.maximum(count, 1)) - np.log(np.maximum(context[e - 1], 1))
+        score[e] = np.where(count >= MIN_COUNT, seen, np.log(ALPHA) + score[e])
+        context = np.zeros(len(w), np.int64)
+        context[e] = count
+    return np.bincount(rows, minlength=len(texts)), np.bincount(rows, score, len(texts))
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_words, log_score)`` for every row."""
+    order = 2
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    hot = frequent_bigrams(docs)
-    uni, hot_count = count_tables(docs, hot)
-    partitions = max(8, -(-int(uni.sum()) // PER_PARTITION))
-    sent = df.sparkSession.sparkContext.broadcast(Model(uni, hot, hot_count, partitions))
+    total = max(count_words(docs), 1)
+    partitions = max(8, -(-order * total // PER_PARTITION))
     kind = dict(docs.dtypes)["_id"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, nth = sent.value, 0
-        task = TaskContext.get().partitionId()
+        task, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in X.slices(batch, "_text"):
-                words, base, cells = explode(X.column(part, "_text"), model)
+            for part in X.slices(batch, "_text", 2 * SLICE_BYTES):
+                texts = X.column(part, "_text")
+                cells = keys(texts, order, partitions)
+                blob, sizes = pack_texts(texts)
                 ids = X.column(part, "_id")
-                head = pa.array([ids.to_pylist()] + [None] * len(cells), pa.list_(ids.type))
                 m = len(cells)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        # The head of a slice travels with one of the hash partitions.
-                        pa.array([(task * 31 + nth) % model.partitions, *[c[0] for c in cells]], pa.int64()), pa.array([task << 32 | nth] * (m + 1), pa.int64()), head,
-                        pa.array([words.tolist()] + [None] * m, pa.list_(pa.int64())), pa.array([base.tolist()] + [None] * m, pa.list_(pa.float64())), pa.array([None, *[c[1] for c in cells]], pa.binary()),
+                        # The texts of a slice travel with one of the hash partitions.
+                        pa.array([(task * 31 + nth) % partitions, *[c[0] for c in cells]], pa.int64()), pa.array([task << 32 | nth] * (m + 1), pa.int64()), pa.array([ids.to_pylist()] + [None] * m, pa.list_(ids.type)),
+                        pa.array([sizes] + [None] * m, pa.list_(pa.int64())), pa.array([blob, *[c[1] for c in cells]], pa.binary()),
                     ],
-                    names=["p", "slice", "ids", "words", "base", "cells"],
+                    names=["p", "slice", "ids", "sizes", "blob"],
                 )
                 nth += 1
 
-    schema = f"p long, slice long, ids array<{kind}>, words array<bigint>, base array<double>, cells binary"
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        has = pdf["cells"].notna().to_numpy()
-        out = pdf.loc[~has, ["slice", "ids", "words", "base"]].assign(sums=None)
-        if has.any():
-            scored = score_entries(pdf.loc[has, "cells"].tolist(), sent.value)
-            sums = [pack_sums(r, s) for r, s in scored]
-            out = pd.concat([out, pd.DataFrame({"slice": pdf.loc[has, "slice"].to_numpy(), "ids": None, "words": None, "base": None, "sums": sums})])
-        return out
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf["sums"].isna()].iloc[0]
-        total = np.array(head["base"], float)
-        for blob in pdf["sums"].dropna():
-            row, value = unpack_sums(blob)
-            total[row] += value
-        return pd.DataFrame({id_col: pd.Series(list(head["ids"]), dtype=object), "n_words": np.array(head["words"], np.int64), "log_score": total})
-
-    back = docs.mapInArrow(emit, schema).groupBy("p").applyInPandas(join, f"slice long, ids array<{kind}>, words array<bigint>, base array<double>, sums binary")
-    return back.groupBy("slice").applyInPandas(add, f"`{id_col}` {kind}, n_words long, log_score double")
+    schema = f"p long, slice long, ids array<{kind}>, sizes array<bigint>, blob binary"
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = pdf["sizes"].isna().to_numpy()
+        if cell.any():
+            pdf.loc[cell, "blob"] = pd.Series(add_counts(pdf.loc[cell, "blob"].tolist()), index=pdf.index[cell], dtype=object)
+        return pdf
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = pdf["sizes"].isna().to_numpy()
+        head = pdf[~cell].iloc[0]
+        counts = np.concatenate([np.zeros(0, np.int64), *map(unpack_counts, pdf[cell].sort_values("p")["blob"])])
+        words, value = score_slice(unpack_texts(head["blob"], head["sizes"]), counts, order, total)
+        return pd.DataFrame({id_col: pd.Series(list(head["ids"]), dtype=object), "n_words": words.astype(np.int64), "log_score": value})
+
+    back = docs.mapInArrow(emit, schema).groupBy("p").applyInPandas(count, schema)
+    return back.groupBy("slice").applyInPandas(score, f"`{id_col}` {kind}, n_words long, log_score double")

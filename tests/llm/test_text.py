@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from starql.llm import backoff_lm, bpe, decontaminate, langid, linkgraph, mil_quality, secret_crf
+from starql.llm import textops as X
 from starql.llm.queries import op1_secret_scan, oracle_sql, queries, tokenizer_file
 
 from .data import corpus, frame, odd, prose
@@ -280,6 +282,29 @@ def test_lm_scores(spark):
     assert backoff_lm.score_texts(frame(spark, [])).collect() == []
 
 
+def backoff_by_words(texts):
+    """Bigram scores from plain word strings."""
+    docs = [re.findall("[0-9a-z]+", (t or "").lower()) for t in texts]
+    one = collections.Counter(w for d in docs for w in d)
+    two = collections.Counter(p for d in docs for p in zip(d, d[1:]))
+    total = sum(one.values())
+    first = [math.log(one[d[0]] / total) if d else 0.0 for d in docs]
+    return [f + sum(math.log(two[p] / one[p[0]]) if two[p] >= 2 else math.log(0.4 * one[p[1]] / total) for p in zip(d, d[1:])) for f, d in zip(first, docs, strict=True)]
+
+
+def test_lm_words_that_share_20_hash_bits(spark):
+    words = np.array([f"w{k}" for k in range(8000)])
+    data, offsets = X.buffers(pa.array(words.tolist()))
+    short = X.span_hashes(data, offsets[:-1], offsets[1:]) >> np.uint64(44)
+    order = np.argsort(short, kind="stable")
+    same = np.flatnonzero(short[order][1:] == short[order][:-1])
+    pairs = [(words[order[k]], words[order[k + 1]]) for k in same]
+    assert pairs
+    texts = [f"{a} said {a} again" for a, _ in pairs for _ in range(3)] + [f"{b} said once" for _, b in pairs] + [None, "..."]
+    got = {r.doc_id: r.log_score for r in backoff_lm.score_texts(frame(spark, [(k, t, None) for k, t in enumerate(texts)]).repartition(3)).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(backoff_by_words(texts))
+
+
 def test_packing():
     r = np.random.default_rng(3)
     code, row, n = r.integers(0, 1 << 40, 500), r.integers(0, 70_000, 500), r.integers(1, 300, 500)
