@@ -1,8 +1,11 @@
 """Language-model scoring: stupid backoff over word n-grams of the whole corpus, computed relationally.
 
 Words and n-grams are keyed by 64-bit hashes; every count table is hash-partitioned and grows with the corpus.
-The score of word w after v is count(v w) / count(v) if the bigram stands at least ``MIN_COUNT`` times in the corpus, else
-``ALPHA`` * count(w) / N; the first word of a text gets count(w) / N.  A text's score is the sum of logarithms.
+The score of word w after the ``order`` - 1 words before it (fewer at the start of a text) is count(context w) / count(context)
+if that n-gram stands at least ``MIN_COUNT`` times in the corpus, else ``ALPHA`` times the score of w after the context without
+its first word, down to count(w) / N.  A text's score is the sum of logarithms.  With ``leave_one_out`` the occurrence that is
+scored is taken off n-gram and context, so that an n-gram is seen if it stands anywhere else (that is what ``MIN_COUNT`` = 2
+says); count(w) / N keeps it, so no score is infinite.  The registered query uses order 3 with ``leave_one_out``.
 
 1. The words N of all texts are counted.
 2. Each slice of the input sends its distinct words and n-grams with their counts, packed, to ranges of the hash, and its
@@ -71,16 +74,16 @@ def _whole(raw: np.ndarray, m: int, kind: str) -> np.ndarray:
 
 
 def pack(code: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Entries sorted by code: code and columns (of 32 bits) in byte planes; then deflated."""
+    """Entries sorted by code: differences of codes and columns (of 32 bits) in byte planes; then deflated."""
     order = np.argsort(code, kind="stable")
-    raw = _planes(code[order], "<i8") + b"".join(_planes(c[order], "<u4") for c in columns)
+    raw = _planes(np.diff(code[order].astype("<i8"), prepend=np.int64(0)), "<i8") + b"".join(_planes(c[order], "<u4") for c in columns)
     return struct.pack("<I", len(code)) + zlib.compress(raw, 1)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     m = struct.unpack("<I", blob[:4])[0]
     raw = np.frombuffer(zlib.decompress(blob[4:]), np.uint8)
-    return _whole(raw[: 8 * m], m, "<i8"), *(_whole(raw[a : a + 4 * m], m, "<u4").astype(np.int64) for a in range(8 * m, len(raw), 4 * m or 1))
+    return np.cumsum(_whole(raw[: 8 * m], m, "<i8")), *(_whole(raw[a : a + 4 * m], m, "<u4").astype(np.int64) for a in range(8 * m, len(raw), 4 * m or 1))
 
 
 def pack_sums(row: np.ndarray, value: np.ndarray) -> bytes:
@@ -98,12 +101,12 @@ def unpack_sums(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def pack_texts(texts: pa.Array) -> tuple[bytes, list[int]]:
     data, offsets = X.buffers(texts)
-    return zlib.compress(data.tobytes(), 1), np.diff(offsets).tolist()
+    return pa.Codec("zstd", 9).compress(data.tobytes(), asbytes=True), np.diff(offsets).tolist()
 
 
 def unpack_texts(blob: bytes, sizes: np.ndarray) -> pa.Array:
     offsets = np.r_[0, np.cumsum(sizes)].astype("<i8")
-    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(zlib.decompress(blob)))
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.Codec("zstd").decompress(blob, int(offsets[-1])))
 
 
 def keys(texts: pa.Array, order: int, partitions: int) -> list[tuple[int, bytes]]:
@@ -121,7 +124,7 @@ def add_counts(blobs: list[bytes]) -> list[bytes]:
     _, inverse = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
     count = np.bincount(inverse, np.concatenate([x[1] for x in parts])).astype(np.int64)[inverse]
     ends = np.cumsum([len(x[0]) for x in parts])
-    return [zlib.compress(_planes(c, "<u8"), 1) for c in np.split(count, ends[:-1])]
+    return [zlib.compress(_planes(c, "<u8"), 6) for c in np.split(count, ends[:-1])]
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
@@ -129,24 +132,24 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return _whole(raw, len(raw) // 8, "<u8").astype(np.int64)
 
 
-def score_slice(texts: pa.Array, counts: np.ndarray, order: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+def score_slice(texts: pa.Array, counts: np.ndarray, order: int, total: int, leave_one_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Words and score of each row of a slice, from the corpus counts of its distinct n-grams."""
     w, rows = word_ids(texts)
     codes, last = grams(w, rows, order)
     _, inverse = np.unique(np.concatenate(codes), return_inverse=True)
     each = np.split(counts[inverse], np.cumsum([len(c) for c in codes])[:-1])
+    own = int(leave_one_out)
     score, context = np.log(np.maximum(each[0], 1)) - np.log(total), each[0]
     for count, e in zip(each[1:], last[1:], strict=True):
-        seen = np.log(np.maximum(count, 1)) - np.log(np.maximum(context[e - 1], 1))
+        seen = np.log(np.maximum(count - own, 1)) - np.log(np.maximum(context[e - 1] - own, 1))
         score[e] = np.where(count >= MIN_COUNT, seen, np.log(ALPHA) + score[e])
         context = np.zeros(len(w), np.int64)
         context[e] = count
     return np.bincount(rows, minlength=len(texts)), np.bincount(rows, score, len(texts))
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, leave_one_out: bool = False) -> DataFrame:
     """``(id_col, n_words, log_score)`` for every row."""
-    order = 2
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     total = max(count_words(docs), 1)
     partitions = max(8, -(-order * total // PER_PARTITION))
@@ -155,7 +158,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in X.slices(batch, "_text", 2 * SLICE_BYTES):
+            for part in X.slices(batch, "_text", 4 * SLICE_BYTES):
                 texts = X.column(part, "_text")
                 cells = keys(texts, order, partitions)
                 blob, sizes = pack_texts(texts)
@@ -183,7 +186,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         cell = pdf["sizes"].isna().to_numpy()
         head = pdf[~cell].iloc[0]
         counts = np.concatenate([np.zeros(0, np.int64), *map(unpack_counts, pdf[cell].sort_values("p")["blob"])])
-        words, value = score_slice(unpack_texts(head["blob"], head["sizes"]), counts, order, total)
+        words, value = score_slice(unpack_texts(head["blob"], head["sizes"]), counts, order, total, leave_one_out)
         return pd.DataFrame({id_col: pd.Series(list(head["ids"]), dtype=object), "n_words": words.astype(np.int64), "log_score": value})
 
     back = docs.mapInArrow(emit, schema).groupBy("p").applyInPandas(count, schema)

@@ -77,7 +77,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]), order=3, leave_one_out=True)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

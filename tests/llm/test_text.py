@@ -12,7 +12,7 @@ import pytest
 
 from starql.llm import backoff_lm, bpe, decontaminate, langid, linkgraph, mil_quality, secret_crf
 from starql.llm import textops as X
-from starql.llm.queries import op1_secret_scan, oracle_sql, queries, tokenizer_file
+from starql.llm.queries import op1_secret_scan, op9_lm_scoring, oracle_sql, queries, tokenizer_file
 
 from .data import corpus, frame, odd, prose
 
@@ -305,6 +305,23 @@ def test_lm_words_that_share_20_hash_bits(spark):
     assert [got[k] for k in range(len(texts))] == pytest.approx(backoff_by_words(texts))
 
 
+def test_lm_query_backs_off_from_trigrams(spark, tmp_path):
+    rows = [(k, t, None) for k, t in enumerate(["a b c d", "a b c e", "x b c d a b", "a", None, "b b b b b", "a b c d"])]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(t or "").split() for _, t, _ in rows]
+    n = collections.Counter(tuple(d[i : i + k]) for d in docs for k in (1, 2, 3) for i in range(len(d) - k + 1))
+    total = sum(map(len, docs))
+
+    def value(g):
+        if len(g) == 1:
+            return n[g] / total
+        return (n[g] - 1) / (n[g[:-1]] - 1) if n[g] > 1 else 0.4 * value(g[1:])
+
+    want = [sum(math.log(value(tuple(d[max(0, i - 2) : i + 1]))) for i in range(len(d))) for d in docs]
+    got = {r.doc_id: r.log_score for r in op9_lm_scoring(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(rows))] == pytest.approx(want)
+
+
 def test_packing():
     r = np.random.default_rng(3)
     code, row, n = r.integers(0, 1 << 40, 500), r.integers(0, 70_000, 500), r.integers(1, 300, 500)
