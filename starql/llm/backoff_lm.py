@@ -8,16 +8,21 @@ scored is taken off n-gram and context, so that an n-gram is seen if it stands a
 says); count(w) / N keeps it, so no score is infinite.  The registered query uses order 3 with ``leave_one_out``.
 
 1. The words N of all texts are counted.
-2. Each slice of the input sends its distinct words and n-grams with their counts, packed, to ranges of the hash, and its
-   texts, deflated, along with one of them.  A range adds up its counts and answers each slice in the order of its keys.
-3. Answers and texts meet by slice and are scored there.  No more than a slice of texts or a range of keys is ever in
-   one task, and both are sized by parameters, not by the data's groups: a key comes once from a slice, however frequent.
+2. Each slice of the input sends its distinct words and n-grams with their counts, packed, to ranges of the hash.  A range
+   adds up its counts and answers each slice in the order of its keys.
+3. Answers meet the texts of their slice, which are read a second time for that (sending them along with the keys would
+   take them through two shuffles), and are scored there.  No more than a slice of texts or a range of keys is ever in one
+   task, and both are sized by parameters, not by the data's groups: a key comes once from a slice, however frequent.
+
+Both reads must see the same rows in the same tasks, as file scans do; an input with a shuffle in its plan is written to
+the shared folder first, and every slice carries a digest of its texts, so a difference is an error and no wrong score.
 
 Defined results: a null or wordless text has no words and score 0; repeated rows are scored each and count in the
 corpus each; ids may be null or repeated; an empty table gives an empty result; extra columns are not carried."""
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .common import SLICE_BYTES
+from .common import SLICE_BYTES, materialise
 
 MIN_COUNT = 2
 ALPHA = 0.4
 #: Keys of one hash partition, at most.
 PER_PARTITION = 2_000_000
+#: Text bytes of a slice: the larger it is, the fewer keys are sent.
+SLICE = 8 * SLICE_BYTES
 
 
 def word_ids(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,19 +93,6 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(_whole(raw[: 8 * m], m, "<i8")), *(_whole(raw[a : a + 4 * m], m, "<u4").astype(np.int64) for a in range(8 * m, len(raw), 4 * m or 1))
 
 
-def pack_sums(row: np.ndarray, value: np.ndarray) -> bytes:
-    """Ascending rows as differences in byte planes, and single-precision sums (added up in double precision)."""
-    gaps = np.diff(row, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return struct.pack("<I", len(row)) + zlib.compress(gaps.tobytes(), 1) + value.astype("<f4").tobytes()
-
-
-def unpack_sums(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    m = struct.unpack("<I", blob[:4])[0]
-    cut = len(blob) - 4 * m
-    gaps = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob[4:cut]), np.uint8).reshape(4, m).T).view("<u4")[:, 0]
-    return np.cumsum(gaps.astype(np.int64)), np.frombuffer(blob, "<f4", m, cut).astype(float)
-
-
 def pack_texts(texts: pa.Array) -> tuple[bytes, list[int]]:
     data, offsets = X.buffers(texts)
     return pa.Codec("zstd", 9).compress(data.tobytes(), asbytes=True), np.diff(offsets).tolist()
@@ -148,46 +142,51 @@ def score_slice(texts: pa.Array, counts: np.ndarray, order: int, total: int, lea
     return np.bincount(rows, minlength=len(texts)), np.bincount(rows, score, len(texts))
 
 
+def _numbered_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, int]]:
+    """Number (task and place in it) and digest of each slice."""
+    task, nth = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for part in X.slices(batch, "_text", SLICE):
+            data, offsets = X.buffers(X.column(part, "_text"))
+            digest = hashlib.blake2b(data.tobytes() + offsets.tobytes(), digest_size=8).digest()
+            yield task << 32 | nth, part, int.from_bytes(digest, "little", signed=True)
+            nth += 1
+
+
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, leave_one_out: bool = False) -> DataFrame:
     """``(id_col, n_words, log_score)`` for every row."""
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = materialise(docs, "texts")
     total = max(count_words(docs), 1)
     partitions = max(8, -(-order * total // PER_PARTITION))
     kind = dict(docs.dtypes)["_id"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, nth = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for part in X.slices(batch, "_text", 4 * SLICE_BYTES):
-                texts = X.column(part, "_text")
-                cells = keys(texts, order, partitions)
-                blob, sizes = pack_texts(texts)
-                ids = X.column(part, "_id")
-                m = len(cells)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        # The texts of a slice travel with one of the hash partitions.
-                        pa.array([(task * 31 + nth) % partitions, *[c[0] for c in cells]], pa.int64()), pa.array([task << 32 | nth] * (m + 1), pa.int64()), pa.array([ids.to_pylist()] + [None] * m, pa.list_(ids.type)),
-                        pa.array([sizes] + [None] * m, pa.list_(pa.int64())), pa.array([blob, *[c[1] for c in cells]], pa.binary()),
-                    ],
-                    names=["p", "slice", "ids", "sizes", "blob"],
-                )
-                nth += 1
-
-    schema = f"p long, slice long, ids array<{kind}>, sizes array<bigint>, blob binary"
+        for number, part, digest in _numbered_slices(batches):
+            cells = keys(X.column(part, "_text"), order, partitions)
+            m = len(cells)
+            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.int64()), pa.array([number] * m, pa.int64()), pa.array([digest] * m, pa.int64()), pa.array([c[1] for c in cells], pa.binary())], names=["p", "slice", "digest", "blob"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, part, digest in _numbered_slices(batches):
+            blob, sizes = pack_texts(X.column(part, "_text"))
+            ids = X.column(part, "_id")
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([digest], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["slice", "digest", "ids", "sizes", "blob"])
+
+    schema = "p long, slice long, digest long, blob binary"
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = pdf["sizes"].isna().to_numpy()
-        if cell.any():
-            pdf.loc[cell, "blob"] = pd.Series(add_counts(pdf.loc[cell, "blob"].tolist()), index=pdf.index[cell], dtype=object)
-        return pdf
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = pdf["sizes"].isna().to_numpy()
-        head = pdf[~cell].iloc[0]
-        counts = np.concatenate([np.zeros(0, np.int64), *map(unpack_counts, pdf[cell].sort_values("p")["blob"])])
+        return pdf.assign(blob=add_counts(pdf["blob"].tolist()))
+
+    def score(cells: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        if len(heads) != 1 or (cells["digest"] != heads["digest"].iloc[0]).any():
+            raise RuntimeError("the texts changed between two reads")
+        head = heads.iloc[0]
+        counts = np.concatenate([np.zeros(0, np.int64), *map(unpack_counts, cells.sort_values("p")["blob"])])
         words, value = score_slice(unpack_texts(head["blob"], head["sizes"]), counts, order, total, leave_one_out)
         return pd.DataFrame({id_col: pd.Series(list(head["ids"]), dtype=object), "n_words": words.astype(np.int64), "log_score": value})
 
-    back = docs.mapInArrow(emit, schema).groupBy("p").applyInPandas(count, schema)
-    return back.groupBy("slice").applyInPandas(score, f"`{id_col}` {kind}, n_words long, log_score double")
+    answers = docs.mapInArrow(emit, schema).groupBy("p").applyInPandas(count, schema)
+    texts = docs.mapInArrow(send, f"slice long, digest long, ids array<{kind}>, sizes array<bigint>, blob binary")
+    return answers.groupBy("slice").cogroup(texts.groupBy("slice")).applyInPandas(score, f"`{id_col}` {kind}, n_words long, log_score double")

@@ -77,7 +77,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]), order=3, leave_one_out=True)
+    done = score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]), order=3, leave_one_out=True)
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).otherwise(0.0)
+    return done.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), mean.alias("mean_log_score"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,10 +129,28 @@ FROM b LEFT JOIN c ON b.doc_id = c.doc_id
 """
 
 
+#: Counts of 1-, 2- and 3-grams, joined to each occurrence; the occurrence that is scored is taken off n-gram and context.
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+o AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+n1 AS (SELECT c, count(*) AS n FROM o GROUP BY ALL),
+n2 AS (SELECT b, c, count(*) AS n FROM o WHERE b IS NOT NULL GROUP BY ALL),
+n3 AS (SELECT a, b, c, count(*) AS n FROM o WHERE a IS NOT NULL GROUP BY ALL),
+s AS (SELECT o.doc_id, CASE WHEN n3.n > 1 THEN ln(n3.n - 1) - ln(h.n - 1)
+             WHEN n2.n > 1 THEN ln(n2.n - 1) - ln(g.n - 1) + CASE WHEN o.a IS NULL THEN 0 ELSE ln(0.4) END
+             ELSE ln(n1.n) - ln((SELECT sum(n) FROM n1)) + CASE WHEN o.b IS NULL THEN 0 WHEN o.a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS v
+      FROM o JOIN n1 ON o.c = n1.c LEFT JOIN n2 ON o.b = n2.b AND o.c = n2.c LEFT JOIN n3 ON o.a = n3.a AND o.b = n3.b AND o.c = n3.c
+      LEFT JOIN n1 g ON o.b = g.c LEFT JOIN n2 h ON o.a = h.b AND o.b = h.c),
+r AS (SELECT doc_id, count(*) AS n, sum(v) AS v FROM s GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(coalesce(v, 0), 6) AS log_score, round(coalesce(v / n, 0), 6) AS mean_log_score
+FROM t LEFT JOIN r ON t.doc_id = r.doc_id
+"""
+
+
 def queries() -> dict:
     found = (op1_secret_scan, op2_language_id, op3_ngram_jaccard_join, op4_url_filter, op5_quality, op6_exact_dedup, op7_decontamination, op8_bpe, op9_lm_scoring, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op9_lm_scoring": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
