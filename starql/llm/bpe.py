@@ -2,13 +2,16 @@
 
 A rolling hash over the UTF-8 bytes cuts each text where its content says so, so a passage that stands in many
 documents is cut into the same chunks in all of them.  A chunk is encoded once and its ids are kept under its
-bytes; later occurrences take them from there.  Where two chunks meet, merges may cross the cut, so the span from
-the last *certain* boundary before the cut to the first one after it is encoded again, and the span grows until
-both of its ends fall on token ends of the two chunks.  A space between two non-space characters is certain: the
-split pattern puts a boundary before it whatever stands around it, so merges never cross it.
+digest; later occurrences take them from there.  Where two chunks meet, merges may cross the cut, so a span round the
+seam is encoded again.  Its ends are *certain* boundaries where there are some nearby: a space between two characters
+that are none is one in every script, as the split pattern cuts before it whatever stands around it.  Elsewhere (no
+spaces at all, or very long words) the span is a number of tokens on either side, which doubles until what comes out
+agrees at both ends with the tokens that were there.  Inside a run of letters or of digits such agreement is proof: a
+sequence of tokens is the encoding of its bytes exactly if each two neighbours are the encoding of theirs.
 
-Where the ids are kept: one store per Python worker, in two generations of ``STORE_BYTES`` each, shared by all
-tasks that the worker runs.  Nothing is shuffled, and a lost executor only loses a store that refills by itself.
+Where the ids are kept: one store per Python worker, in two generations of ``STORE_BYTES`` of chunks and ids each,
+shared by all tasks that the worker runs.  Nothing is shuffled, and a lost executor only loses a store that refills by
+itself.  A chunk that comes again after more than two generations, or in another worker, is encoded again.
 
 Ids are those of the ``tokenizers`` library for the given file with ``add_special_tokens=False``: strings of added
 tokens become their ids, truncation and padding are not applied.  Texts of characters below U+0250 are encoded
@@ -23,6 +26,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,10 @@ SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 
 WINDOW = 32
 MEAN_CHUNK = 1024
-STORE_BYTES = 16 << 20
+STORE_BYTES = 24 << 20
+#: Bytes round a seam that are searched for certain boundaries, and tokens of the first span without them.
+NEAR = 256
+TOKENS = 8
 _ODD = re.compile("[^\x00-\u024f]")
 _codecs: dict[str, Codec] = {}
 
@@ -83,8 +91,8 @@ class Codec:
         self.slow.no_truncation()
         self.slow.no_padding()
         self.special = re.compile("|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.young: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = self.hits = self.misses = 0
 
     def plain(self, text: str) -> list[int]:
@@ -95,68 +103,93 @@ class Codec:
 
     def chunk(self, raw: bytes) -> list[int]:
         """Ids of a chunk, from the store if it was seen before."""
-        got = self.young.get(raw)
+        name = hashlib.blake2b(raw, digest_size=16).digest()
+        got = self.young.get(name)
         if got is None:
-            got = self.old.get(raw)
+            got = self.old.get(name)
             if got is None:
                 self.misses += 1
-                got = self.plain(raw.decode())
+                got = array("i", self.plain(raw.decode())).tobytes()
             else:
                 self.hits += 1
             if self.held > STORE_BYTES:
                 self.old, self.young, self.held = self.young, {}, 0
-            self.young[raw] = got
-            self.held += 8 * len(raw)
+            self.young[name] = got
+            self.held += len(got) + 150  # with the digest and the two objects
         else:
             self.hits += 1
-        return got
+        return array("i", got).tolist()
 
     def joined(self, chunks: list[bytes]) -> list[int]:
         """Ids of the concatenation of ``chunks``."""
-        if not chunks:
-            return []
-        done, tail = [], (self.chunk(chunks[0]), chunks[0])
-        for raw in chunks[1:]:
-            done, tail = self._join(done, tail, raw)
-        return done + tail[0]
-
-    def _join(self, done: list[int], left: tuple[list[int], bytes], raw: bytes) -> tuple[list[int], tuple[list[int], bytes]]:
-        """Settle the seam between ``left`` (ids and bytes still open) and the chunk ``raw``."""
-        ids, text = left
-        ahead = self.chunk(raw)
-        begin = self._certain_before(ids, text)
-        end = self._certain_after(ahead, raw)
-        if end is None:  # no certain boundary in the new chunk: it stays open as part of the seam
-            keep = ids[: begin[0]] if begin else []
-            rest = (text[begin[1] :] if begin else text) + raw
-            return done + keep, (self.plain(rest.decode()), rest)
-        keep, rest = (ids[: begin[0]], text[begin[1] :]) if begin else ([], text)
-        seam = self.plain((rest + raw[: end[1]]).decode())
-        return done + keep + seam, (ahead[end[0] :], raw[end[1] :])
-
-    def _certain_before(self, ids: list[int], text: bytes) -> tuple[int, int] | None:
-        """Last certain boundary that is also a token end: (token index, byte position)."""
-        n, at = len(ids), len(text)
-        cut = len(text)
-        while (cut := text.rfind(b" ", 1, cut)) > 0:
-            if certain(text, cut):
+        if len(chunks) < 2:
+            return self.chunk(chunks[0]) if chunks else []
+        raw = b"".join(chunks)
+        out, at = self.chunk(chunks[0]), len(chunks[0])
+        for own in chunks[1:]:
+            self._join(out, raw, at, self.chunk(own), at + len(own))
+            at += len(own)
+        return out
+
+    def _join(self, out: list[int], raw: bytes, seam: int, ahead: list[int], end: int) -> None:
+        """Extends ``out``, the ids of ``raw[:seam]``, to those of ``raw[:end]``; ``ahead`` has those of the chunk between."""
+        lefts, rights = self._left(out, raw, seam, end), self._right(ahead, raw, seam, end)
+        (n, a, sure_a), (m, b, sure_b) = next(lefts), next(rights)
+        while True:
+            new = self.plain(raw[a:b].decode())
+            good_a = sure_a or new[:1] == out[n : n + 1]
+            good_b = sure_b or new[-1:] == ahead[m - 1 : m]
+            if good_a and good_b:
+                out[n:] = new
+                out += ahead[m:]
+                return
+            if not good_a:
+                n, a, sure_a = next(lefts)
+            if not good_b:
+                m, b, sure_b = next(rights)
+
+    def _left(self, ids: list[int], raw: bytes, seam: int, end: int) -> Iterator[tuple[int, int, bool]]:
+        """Where a span may begin, from the nearest on: token index, byte position, and whether it is sure."""
+        n, at, least = len(ids), seam, 0
+        size = self.size
+        cut = seam
+        while (cut := raw.rfind(b" ", max(1, seam - NEAR), cut)) > 0:
+            if certain(raw, cut, end):
                 while at > cut:
                     n -= 1
-                    at -= self.size[ids[n]]
+                    at -= size[ids[n]]
                 if at == cut:
-                    return n, cut
-        return None
-
-    def _certain_after(self, ids: list[int], text: bytes) -> tuple[int, int] | None:
-        n = at = cut = 0
-        while (cut := text.find(b" ", cut + 1)) > 0:
-            if certain(text, cut):
+                    yield n, cut, True
+                    break
+        n, at, least = len(ids), seam, TOKENS
+        while n:
+            n -= 1
+            at -= size[ids[n]]
+            if len(ids) - n >= least and n and inner(raw, at, end):
+                yield n, at, False
+                least *= 2
+        yield 0, 0, True
+
+    def _right(self, ids: list[int], raw: bytes, seam: int, end: int) -> Iterator[tuple[int, int, bool]]:
+        n, at = 0, seam
+        size = self.size
+        cut = seam
+        while 0 < (cut := raw.find(b" ", cut + 1, min(end, seam + NEAR))):
+            if certain(raw, cut, end):
                 while at < cut:
-                    at += self.size[ids[n]]
+                    at += size[ids[n]]
                     n += 1
                 if at == cut:
-                    return n, cut
-        return None
+                    yield n, cut, True
+                    break
+        n, at, least = 0, seam, TOKENS
+        while n < len(ids):
+            at += size[ids[n]]
+            n += 1
+            if n >= least and n < len(ids) and inner(raw, at, end):
+                yield n, at, False
+                least *= 2
+        yield len(ids), end, True
 
     def encode(self, chunks: list[bytes]) -> list[int]:
         raw = b"".join(chunks) if self.special else b""
@@ -172,12 +205,56 @@ class Codec:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def certain(text: bytes, cut: int) -> bool:
-    """A space at ``cut`` with printable ASCII or a letter below U+0250 beside it on both sides."""
-    if not 0 < cut < len(text) - 1:
+def _char_before(raw: bytes, at: int) -> str:
+    a = at - 1
+    while a > 0 and raw[a] & 0xC0 == 0x80:
+        a -= 1
+    return raw[a:at].decode()
+
+
+def _char_at(raw: bytes, at: int, end: int) -> str:
+    b = at + 1
+    while b < end and raw[b] & 0xC0 == 0x80:
+        b += 1
+    return raw[at:b].decode()
+
+
+def certain(raw: bytes, cut: int, end: int) -> bool:
+    """A space at ``cut`` with a character on both sides that is no white space."""
+    if not 0 < cut < end - 1:
+        return False
+    before, after = raw[cut - 1], raw[cut + 1]
+    if before < 128 and after < 128:
+        return 32 < before < 127 and 32 < after < 127
+    return not _blank(_char_before(raw, cut)) and not _blank(_char_at(raw, cut + 1, end))
+
+
+def _blank(c: str) -> bool:
+    """White space, or a character that some Unicode table may count as such."""
+    return c.isspace() or unicodedata.category(c)[0] in "CZ"
+
+
+def inner(raw: bytes, at: int, end: int) -> bool:
+    """A character start inside a run of letters, of ASCII digits, or of other printable characters: the split pattern
+    goes on across it, whatever comes before.  An apostrophe never begins a span, as it may begin a contraction."""
+    before, after = raw[at - 1], raw[at]
+    if before < 128 and after < 128:
+        return after != 39 and 0 < _KIND[before] == _KIND[after]
+    if after & 0xC0 == 0x80:
         return False
-    before, after = text[cut - 1], text[cut + 1]
-    return (33 <= before <= 126 or 0x80 <= before <= 0xBF and 0xC3 <= text[cut - 2] <= 0xC9) and (33 <= after <= 126 or 0xC3 <= after <= 0xC9)
+    return 0 < _settled(_char_before(raw, at)) == _settled(_char_at(raw, at, end)) and after != 39
+
+
+#: Of ASCII characters: letter 1, digit 2, other printable 3, else 0.
+_KIND = [1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 * (32 < b < 127) for b in range(128)]
+
+
+def _settled(c: str) -> int:
+    """1 for letters and 3 for marks and symbols that are so in the oldest Unicode table here and in the newest, else 0."""
+    if ord(c) < 128:
+        return _KIND[ord(c)]
+    old, new = unicodedata.ucd_3_2_0.category(c)[0], unicodedata.category(c)[0]
+    return 1 if old == new == "L" else 3 if old in "PS" and new in "PS" else 0
 
 
 def cut_points(data: np.ndarray) -> np.ndarray:
