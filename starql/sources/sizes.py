@@ -1,4 +1,4 @@
-"""Broadcast hints behind a check of stored sizes."""
+"""Stored sizes."""
 
 from __future__ import annotations
 
@@ -8,12 +8,3 @@ from pyspark.sql import DataFrame
 def stored_bytes(df: DataFrame) -> int:
     """Spark's estimate of a DataFrame's size; for a plain scan, the bytes of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def broadcast_if_small(df: DataFrame, *bases: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if the tables it is made of fit into the session's broadcast threshold.
-
-    For a view that adds columns to a table by joins on unique keys, Spark multiplies the sizes of all inputs and so
-    never finds it small, although it has no more rows than the table.  Beyond the threshold nothing is hinted."""
-    limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    return df.hint("broadcast") if sum(map(stored_bytes, bases)) <= limit else df

@@ -39,8 +39,8 @@ def test_results_come_in_the_order_asked_for(spark, duck):
 
 def test_nulls_are_joined_and_ordered_over_whole_tables(spark, duck):
     rows, orders = duck.execute("SELECT count(*), count(DISTINCT l_orderkey) FROM lineitem").fetchone()
-    full = queries()["join_null_keys_full_whole"](spark, SF).collect()
+    full = queries()["join_null_keys_full"](spark, SF).collect()
     assert len({r.a for r in full} - {None}) == len({r.b for r in full} - {None}) == orders
-    got = [tuple(r) for r in queries()["order_by_nulls_whole"](spark, SF).collect()]
+    got = [tuple(r) for r in queries()["order_by_nulls"](spark, SF).collect()]
     assert len(got) == rows
-    assert got == duck.execute(oracle_sql()["order_by_nulls_whole"].replace(" DESC", " DESC NULLS LAST")).fetchall()
+    assert got == duck.execute(oracle_sql()["order_by_nulls"].replace(" DESC", " DESC NULLS LAST")).fetchall()
