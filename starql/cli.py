@@ -3,7 +3,8 @@
 ``python -m starql --data-dir DIR [--print-plan] [--print-ast] [--jit] [--stats] [--dump-dot DIR] < query.sql``
 ``python -m starql --check-reachable PLAN_FILE [--data-dir DIR] < query.sql``
 
-Exit codes: 0 done, 64 usage, 1 parse error, 2 planning error, 3 runtime error, 4 plan not reachable.
+Exit codes: 0 done, 64 usage, 1 parse error, 2 planning error, 3 runtime error, 4 plan not reachable, 5 search given up
+before the plan was found.
 ``--jit`` turns whole-stage code generation on, which otherwise follows the session; ``--dump-dot`` writes the plans."""
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .plans.search import optimize, reach
 from .sources import Catalog, csv_catalog
 from .sources.sinks import tab_separated
 
-OK, USAGE, PARSE, PLAN, RUNTIME, NOT_REACHABLE = 0, 64, 1, 2, 3, 4
+OK, USAGE, PARSE, PLAN, RUNTIME, NOT_REACHABLE, GAVE_UP = 0, 64, 1, 2, 3, 4, 5
 
 
 class _Usage(Exception):
@@ -76,6 +77,9 @@ def main(argv: list[str] | None = None, text: str | None = None, spark=None, out
         except Exception as e:
             print(f"reachability error: {e}", file=err)
             return PLAN
+        if not found.reachable and not found.complete:
+            print(f"UNDECIDED distance<={found.distance}: search given up", file=out)
+            return GAVE_UP
         print(f"REACHABLE distance={found.distance}" if found.reachable else f"NOT REACHABLE distance={found.distance}: {found.mismatch}", file=out)
         return OK if found.reachable else NOT_REACHABLE
     try:
@@ -117,7 +121,7 @@ def main(argv: list[str] | None = None, text: str | None = None, spark=None, out
         spark.conf.set("spark.sql.codegen.wholeStage", old)
     out.write(result)
     if args["--stats"]:
-        print(f"STATS plan_cost={chosen.cost} naive_plan_cost={naive.cost} exec_us={took} rows={result.count(chr(10)) - 1}", file=err)
+        print(f"STATS plan_cost={chosen.cost} naive_plan_cost={naive.cost} exec_us={took} rows={result.count(chr(10)) - 1}" + " search=incomplete" * (not chosen.complete), file=err)
     return OK
 
 

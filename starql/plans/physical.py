@@ -80,7 +80,9 @@ def serialize(p: Node) -> str:
         case "PhysicalFilter":
             body = expr_text(p.args[0])
         case "PhysicalProjection":
-            body = f"(exprs{''.join(' ' + (f'(as {expr_text(e)} {_word(a)})' if a else expr_text(e)) for e, a in zip(*p.args, strict=True))})"
+            body = f"(exprs{''.join(' ' + expr_text(e) for e in p.args[0])})"
+            if any(p.args[1]):
+                body += f" (aliases{''.join(' ' + (_quoted(a) if a else '-') for a in p.args[1])})"
         case "NestedLoopCrossJoin":
             body = ""
         case "Sort":
@@ -164,8 +166,9 @@ def _node(x) -> Node:
         case ["PhysicalFilter", e, s]:
             return Node("PhysicalFilter", (_expr(e),), (_node(s),))
         case ["PhysicalProjection", ["exprs", *es], s]:
-            named = [(_expr(e[1]), _name(e[2])) if isinstance(e, list) and e[:1] == ["as"] else (_expr(e), None) for e in es]
-            return Node("PhysicalProjection", (tuple(e for e, _ in named), tuple(a for _, a in named)), (_node(s),))
+            return Node("PhysicalProjection", (tuple(map(_expr, es)), (None,) * len(es)), (_node(s),))
+        case ["PhysicalProjection", ["exprs", *es], ["aliases", *names], s] if len(es) == len(names):
+            return Node("PhysicalProjection", (tuple(map(_expr, es)), tuple(None if a == "-" else _name(a) for a in names)), (_node(s),))
         case ["NestedLoopCrossJoin", a, b]:
             return Node("NestedLoopCrossJoin", (), (_node(a), _node(b)))
         case [str(k), ("Inner" | "Left" | "Right" | "Full") as kind, e, a, b] if k in JOINS:

@@ -30,7 +30,9 @@ class Ref:
 @dataclass
 class Space:
     catalog: Catalog
+    #: Additions by rules after which exploration gives up; ``complete`` tells whether it did.
     limit: int = 4000
+    complete: bool = True
     groups: list[dict[str, A.Op]] = field(default_factory=list)
     columns: list[list[A.Attr]] = field(default_factory=list)
     home: dict[str, int] = field(default_factory=dict)
@@ -96,6 +98,7 @@ class Space:
                             if (len(self.groups[g]), len(self.groups)) != before:
                                 moved, total = True, total + 1
                                 if total > self.limit:
+                                    self.complete = False
                                     return
 
     def members(self, ref: A.Op, *kinds: type) -> Iterator[A.Op]:
@@ -424,22 +427,24 @@ class Optimized:
     plan: Node
     cost: int
     rules: frozenset[str]
+    complete: bool = True
 
 
-def space_of(q: A.Query, catalog: Catalog, naive: bool = False) -> tuple[Space, int]:
-    s = Space(catalog, naive=naive)
+def space_of(q: A.Query, catalog: Catalog, naive: bool = False, limit: int = Space.limit) -> tuple[Space, int]:
+    s = Space(catalog, limit, naive=naive)
     root = s.add(rewrite_group_exprs(q.op))
     if not naive:
         s.explore(RULES)
     return s, root
 
 
-def optimize(q: A.Query, catalog: Catalog, naive: bool = False) -> Optimized:
-    s, root = space_of(q, catalog, naive)
+def optimize(q: A.Query, catalog: Catalog, naive: bool = False, limit: int = Space.limit) -> Optimized:
+    """The cheapest plan; where the search gave up (not ``complete``), the cheapest of those it had come to."""
+    s, root = space_of(q, catalog, naive, limit)
     w = best(s, root, q.order)
     if w is None:
         raise RuntimeError("no plan")
-    return Optimized(w.plan, w.cost, w.rules)
+    return Optimized(w.plan, w.cost, w.rules, s.complete)
 
 
 # --- reachability -------------------------------------------------------------------------------------------------
@@ -447,9 +452,12 @@ def optimize(q: A.Query, catalog: Catalog, naive: bool = False) -> Optimized:
 
 @dataclass(frozen=True)
 class Reach:
+    """Without ``complete``, a plan that is not reachable in the explored part may still be, and the distance is a bound."""
+
     reachable: bool
     distance: int
     mismatch: str = ""
+    complete: bool = True
 
 
 def _same_label(a: Node, b: Node) -> str:
@@ -468,10 +476,10 @@ def _same_label(a: Node, b: Node) -> str:
     return "" if a.args == b.args else {"Sort": "sort keys", "SeqScan": "table"}.get(a.kind, "arguments")
 
 
-def reach(target: Node, q: A.Query, catalog: Catalog) -> Reach:
+def reach(target: Node, q: A.Query, catalog: Catalog, limit: int = Space.limit) -> Reach:
     """Whether the search space holds ``target``, and how far the nearest plan is: changed, removed and added operators
     each count one, inputs are compared in order."""
-    s, root = space_of(q, catalog)
+    s, root = space_of(q, catalog, limit=limit)
     target = target.bare()
     reasons: dict[int, str] = {}
 
@@ -541,4 +549,4 @@ def reach(target: Node, q: A.Query, catalog: Catalog) -> Reach:
         return 0 if w.plan.kind != "Sort" and w.plan.bare() == t else 1 + near(t, root)
 
     d = at_root(target)
-    return Reach(d == 0, d, "" if d == 0 else next(iter(reasons.values()), "operator"))
+    return Reach(d == 0, d, "" if d == 0 else next(iter(reasons.values()), "operator"), s.complete)

@@ -68,6 +68,7 @@ PLANS = [
     "(HashJoin Inner (= (attr a id) (attr b id)) (SeqScan a) (SeqScan b))",
     "(Sort (keys a.x Asc y Desc) (MergeJoin Left (= (attr a id) (attr b id)) (SeqScan a) (SeqScan b)))",
     "(PhysicalProjection (exprs (uminus 5) (^ 1 (attr t x))) (SeqScan t))",
+    '(PhysicalProjection (exprs (attr t a) (+ (attr t b) 1)) (aliases - "b \\"plus\\" one") (SeqScan t))',
     "(HashAggregate (group_by (attr t a)) (aggs (SUM (attr t b)) (COUNT *)) (SeqScan t))",
     "(StreamAggregate (group_by) (aggs (COUNT (attr t b))) (SeqScan t))",
     "(FinalAggregate (group_by (attr t a)) (aggs (SUM (attr t b))) (PartialAggregate (group_by (attr t a)) (aggs (SUM (attr t b))) (SeqScan t)))",
@@ -104,8 +105,7 @@ def test_optimizer(cat):
 
 def test_aggregation_rules(cat):
     sql = "SELECT lineorder.suppkey, SUM(lineorder.value) FROM lineorder JOIN supplier ON lineorder.suppkey = supplier.id GROUP BY lineorder.suppkey"
-    alias = "(as (attr \"\" __agg0) \"sum(lineorder.value)\")"
-    pushed = f"(PhysicalProjection (exprs (attr lineorder suppkey) {alias}) (HashJoin Inner (= (attr lineorder suppkey) (attr supplier id)) (HashAggregate (group_by (attr lineorder suppkey)) (aggs (SUM (attr lineorder value))) (SeqScan lineorder)) (SeqScan supplier)))"
+    pushed = "(PhysicalProjection (exprs (attr lineorder suppkey) (attr \"\" __agg0)) (aliases - \"sum(lineorder.value)\") (HashJoin Inner (= (attr lineorder suppkey) (attr supplier id)) (HashAggregate (group_by (attr lineorder suppkey)) (aggs (SUM (attr lineorder value))) (SeqScan lineorder)) (SeqScan supplier)))"
     assert not reach(deserialize(pushed), parse(sql), cat).reachable
     cat.unique.add(("supplier", "id"))
     cat.foreign_keys.add(ForeignKey("lineorder", "suppkey", "supplier", "id"))
@@ -130,6 +130,14 @@ def test_reach(cat, sql, plan, distance):
     assert found.distance == distance and found.reachable == (distance == 0) and bool(found.mismatch) == (distance > 0)
 
 
+def test_a_search_that_gives_up_says_so(cat):
+    sql = "SELECT * FROM users, orders, supplier WHERE users.id = orders.user_id AND users.age > 3 AND supplier.id = users.age"
+    plan = deserialize("(PhysicalFilter (> (attr users age) 4) (SeqScan users))")
+    found = reach(plan, parse(sql), cat, limit=3)
+    assert not found.reachable and not found.complete and not optimize(parse(sql), cat, limit=3).complete
+    assert reach(plan, parse("SELECT * FROM users WHERE users.age > 3"), cat).complete
+
+
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     return write_files(tmp_path_factory.mktemp("cli"))
