@@ -6,6 +6,7 @@ OR and NOT; about a third aggregated; some ordered."""
 from __future__ import annotations
 
 import random
+import re
 from dataclasses import dataclass
 
 from .frontend import ast as A
@@ -96,35 +97,63 @@ class QueryGenerator:
         return A.Bin(r.choice(A.COMPARISONS), a, lit())
 
 
-def to_sql(q: A.Query, duckdb: bool = False) -> str:
-    """Text of a generated query; for DuckDB, whole sums and counts are 64-bit and NULLs sort last."""
+@dataclass(frozen=True)
+class Dialect:
+    """How a SQL dialect writes what dialects write differently."""
+
+    wide_sums: str = ""
+    null_order: str = ""
+    not_equal: str = "<>"
+    prefix: str = ""
+    joins: tuple[str, str, str, str] = ("INNER JOIN", "LEFT JOIN", "RIGHT JOIN", "FULL JOIN")
+
+    def join(self, kind: str) -> str:
+        return self.joins[("inner", "left", "right", "full").index(kind)]
+
+    def expr(self, e: A.Expr) -> str:
+        """Text of an expression; only the comparison is spelled differently, so string literals are kept as they are."""
+        parts = re.split(r"('(?:[^']|'')*')", A.show(e))
+        return "".join(p if p.startswith("'") else p.replace("<>", self.not_equal) for p in parts)
+
+
+OWN = Dialect()
+#: Whole sums and counts are 64-bit, and NULLs sort last.
+DUCKDB = Dialect("BIGINT", " NULLS LAST")
+POSTGRES = Dialect("BIGINT", "", "!=")
+#: Tables have a schema in front, and outer joins say so.
+TRANSACT = Dialect("BIGINT", "", "<>", "dbo.", ("INNER JOIN", "LEFT OUTER JOIN", "RIGHT OUTER JOIN", "FULL OUTER JOIN"))
+
+
+def to_sql(q: A.Query, duckdb: bool = False, dialect: Dialect | None = None) -> str:
+    """Text of a generated query in a dialect."""
+    d = dialect or (DUCKDB if duckdb else OWN)
     op, where, agg = q.op, "", None
     assert isinstance(op, A.Project)
     exprs, aliases, op = op.exprs, op.aliases, op.source
     if isinstance(op, A.Aggregate):
         agg, op = op, op.source
     if isinstance(op, A.Filter):
-        where, op = f" WHERE {A.show(op.pred)}", op.source
+        where, op = f" WHERE {d.expr(op.pred)}", op.source
 
     def item(e: A.Expr) -> str:
         if agg and isinstance(e, A.Attr) and e.name in agg.names and not e.table:
             text = A.show(agg.aggs[agg.names.index(e.name)])
-            return f"CAST({text} AS BIGINT)" if duckdb else text
+            return f"CAST({text} AS {d.wide_sums})" if d.wide_sums else text
         return A.show(e)
 
     def table(o: A.Op) -> str:
         match o:
             case A.Table(n, a):
-                return f"{n} AS {a}" if a else n
+                return f"{d.prefix}{n} AS {a}" if a else d.prefix + n
             case A.Cross(a, b):
                 return f"{table(a)} CROSS JOIN {table(b)}"
             case A.Join(k, a, b, c):
-                return f"{table(a)} {k.upper()} JOIN {table(b)} ON {A.show(c)}"
+                return f"{table(a)} {d.join(k)} {table(b)} ON {d.expr(c)}"
         raise TypeError(o)
 
     text = "SELECT " + ", ".join(f"{item(e)} AS {a}" for e, a in zip(exprs, aliases, strict=True)) + f" FROM {table(op)}{where}"
     if agg and agg.groups:
         text += " GROUP BY " + ", ".join(map(A.show, agg.groups))
     if q.order:
-        text += " ORDER BY " + ", ".join(A.show(k.attr) + (" DESC" if k.descending else "") + (" NULLS LAST" if duckdb else "") for k in q.order)
+        text += " ORDER BY " + ", ".join(A.show(k.attr) + (" DESC" if k.descending else "") + d.null_order for k in q.order)
     return text

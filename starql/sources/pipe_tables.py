@@ -30,12 +30,33 @@ def convert_tbl(spark: SparkSession, source: str, target: str, columns: Sequence
     write_typed_csv(read_tbl(spark, source, columns), target)
 
 
-# The star-schema tables and their column types (i: int, s: string).
-_SSB = {
-    "lineorder": "lo_orderkey:i lo_linenumber:i lo_custkey:i lo_partkey:i lo_suppkey:i lo_orderdate:i lo_orderpriority:s lo_shippriority:s lo_quantity:i lo_extendedprice:i lo_ordtotalprice:i lo_discount:i lo_revenue:i lo_supplycost:i lo_tax:i lo_commitdate:i lo_shipmode:s",
-    "customer": "c_custkey:i c_name:s c_address:s c_city:s c_nation:s c_region:s c_phone:s c_mktsegment:s",
-    "supplier": "s_suppkey:i s_name:s s_address:s s_city:s s_nation:s s_region:s s_phone:s",
-    "part": "p_partkey:i p_name:s p_mfgr:s p_category:s p_brand:s p_color:s p_type:s p_size:i p_container:s",
-    "date": "d_datekey:i d_date:s d_dayofweek:s d_month:s d_year:i d_yearmonthnum:i d_yearmonth:s d_daynuminweek:i d_daynuminmonth:i d_daynuminyear:i d_monthnuminyear:i d_weeknuminyear:i d_sellingseason:s d_lastdayinweekfl:i d_lastdayinmonthfl:i d_holidayfl:i d_weekdayfl:i",
+# The star-schema tables and their column types.
+SSB_SCHEMA = {
+    "lineorder": [
+        ("lo_orderkey", "int"), ("lo_linenumber", "int"), ("lo_custkey", "int"), ("lo_partkey", "int"),
+        ("lo_suppkey", "int"), ("lo_orderdate", "int"), ("lo_orderpriority", "string"), ("lo_shippriority", "string"),
+        ("lo_quantity", "int"), ("lo_extendedprice", "int"), ("lo_ordtotalprice", "int"), ("lo_discount", "int"),
+        ("lo_revenue", "int"), ("lo_supplycost", "int"), ("lo_tax", "int"), ("lo_commitdate", "int"),
+        ("lo_shipmode", "string"),
+    ],
+    "customer": [
+        ("c_custkey", "int"), ("c_name", "string"), ("c_address", "string"), ("c_city", "string"),
+        ("c_nation", "string"), ("c_region", "string"), ("c_phone", "string"), ("c_mktsegment", "string"),
+    ],
+    "supplier": [
+        ("s_suppkey", "int"), ("s_name", "string"), ("s_address", "string"), ("s_city", "string"),
+        ("s_nation", "string"), ("s_region", "string"), ("s_phone", "string"),
+    ],
+    "part": [
+        ("p_partkey", "int"), ("p_name", "string"), ("p_mfgr", "string"), ("p_category", "string"),
+        ("p_brand", "string"), ("p_color", "string"), ("p_type", "string"), ("p_size", "int"),
+        ("p_container", "string"),
+    ],
+    "date": [
+        ("d_datekey", "int"), ("d_date", "string"), ("d_dayofweek", "string"), ("d_month", "string"),
+        ("d_year", "int"), ("d_yearmonthnum", "int"), ("d_yearmonth", "string"), ("d_daynuminweek", "int"),
+        ("d_daynuminmonth", "int"), ("d_daynuminyear", "int"), ("d_monthnuminyear", "int"), ("d_weeknuminyear", "int"),
+        ("d_sellingseason", "string"), ("d_lastdayinweekfl", "int"), ("d_lastdayinmonthfl", "int"), ("d_holidayfl", "int"),
+        ("d_weekdayfl", "int"),
+    ],
 }
-SSB_SCHEMA = {t: [(c.split(":")[0], {"i": "int", "s": "string"}[c.split(":")[1]]) for c in text.split()] for t, text in _SSB.items()}
