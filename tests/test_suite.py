@@ -44,3 +44,35 @@ def test_nulls_are_joined_and_ordered_over_whole_tables(spark, duck):
     got = [tuple(r) for r in queries()["order_by_nulls"](spark, SF).collect()]
     assert len(got) == rows
     assert got == duck.execute(oracle_sql()["order_by_nulls"].replace(" DESC", " DESC NULLS LAST")).fetchall()
+
+
+def _scan_rows(df):
+    """Rows that each scan of a collected plan has put out, and what was pushed to it."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()
+    leaves = plan.collectLeaves()
+    return [(leaves.apply(k).metrics().apply("numOutputRows").value(), leaves.apply(k).toString()) for k in range(leaves.size()) if leaves.apply(k).metrics().contains("numOutputRows")]
+
+
+def test_a_seek_reads_a_part_of_the_sorted_table(spark):
+    df = queries()["index_seek_eq"](spark, SF)
+    ((rows, scan),) = _scan_rows(df)
+    total = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert "EqualTo(o_orderkey,777)" in scan and rows <= total / 2
+
+
+def test_ranges_of_the_star_queries_are_pushed(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = queries()["ssb_q1_1"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(lo_discount,1)" in plan and "LessThanOrEqual(lo_discount,3)" in plan and "LessThan(lo_quantity,25)" in plan
+    for name in ("ssb_q1_1", "ssb_q4_1"):
+        plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "orders.parquet" not in plan and plan.count("FileScan") == len({"lineorder", "date_dim"}) + 3 * (name == "ssb_q4_1")
+
+
+def test_sort_based_aggregation_is_what_runs(spark):
+    df = queries()["agg_sort_based"](spark, SF)
+    df.collect()
+    assert "SortAggregate" in df._jdf.queryExecution().executedPlan().toString()
