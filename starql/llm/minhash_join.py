@@ -5,9 +5,10 @@
 2. Texts with equal sets are one *class of copies* with a representative and a size; only representatives go on.
 3. Representatives are shuffled on band hashes.  A bucket yields one edge from each member to its least member, never
    all pairs; connected components of these edges are the candidate groups.
-4. The n-gram sets of candidates are built again from their texts and brought together once per group; groups larger
-   than ``BLOCK`` are dealt to pairs of blocks.  Inside a block pair, intersections are matrix products, so no pair is
-   ever a row.  Each block pair gives, for each text, the number of its links and one edge of a spanning forest.
+4. The n-gram sets of candidates are built again from their texts and brought together once per group; groups of more
+   than ``BLOCK`` sets or ``BLOCK_BYTES`` are dealt to pairs of blocks.  Inside a block pair, intersections are matrix
+   products, so no pair is ever a row.  Each block pair gives, for each text, the number of its links and one edge of a
+   spanning forest.
 5. Components of the forest are the classes; link counts are sums.
 
 Defined results: a text with fewer than ``n`` words (at least one) has one n-gram of all its words; a text without
@@ -33,7 +34,9 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.995
 MAX_BANDS = 20
-BLOCK = 256
+#: Sets of a block, and bytes of their n-grams, on average at most.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 #: Candidate tables up to this many rows (some 30 MB) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -86,7 +89,8 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, n: int, bands: int, rows_per_band: int) -> DataFrame:
-    """``(_id, _hash, _key, _bands)`` from ``(_id, _text, _hash)``; key and bands are null for texts without words."""
+    """``(_id, _hash, _key, _n, _bands)`` from ``(_id, _text, _hash)``: digest and size of the n-gram set, and band
+    hashes; key and bands are null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,10 +99,10 @@ def signatures(rows: DataFrame, n: int, bands: int, rows_per_band: int) -> DataF
                 full = [s for s in sets if len(s)]
                 found = iter(band_hashes(full, bands, rows_per_band).view(np.int64).tolist() if full else [])
                 keys = [set_key(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([X.column(part, "_id"), X.column(part, "_hash"), pa.array(keys, pa.binary()), pa.array([next(found) if k else None for k in keys], pa.list_(pa.int64()))], names=["_id", "_hash", "_key", "_bands"])
+                yield pa.RecordBatch.from_arrays([X.column(part, "_id"), X.column(part, "_hash"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([next(found) if k else None for k in keys], pa.list_(pa.int64()))], names=["_id", "_hash", "_key", "_n", "_bands"])
 
     kind = dict(rows.dtypes)["_id"]
-    return rows.mapInArrow(run, f"_id {kind}, _hash long, _key binary, _bands array<bigint>")
+    return rows.mapInArrow(run, f"_id {kind}, _hash long, _key binary, _n int, _bands array<bigint>")
 
 
 def _linked(sets: list[np.ndarray], threshold: float, split: int | None = None) -> np.ndarray:
@@ -112,18 +116,23 @@ def _linked(sets: list[np.ndarray], threshold: float, split: int | None = None)
     col = np.cumsum(head) - 1
     shared = np.bincount(col)[col] > 1
     who, col = who[shared], np.unique(col[shared], return_inverse=True)[1]
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    width = 4096
+    cut = split or 0
+    rows, cols = (np.arange(cut), np.arange(cut, len(sets))) if cut else (np.arange(len(sets)),) * 2
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    width = 2048
     cuts = np.searchsorted(col, np.arange(0, (col[-1] + 1 if len(col) else 0) + width, width))
+    m = np.zeros((len(sets), width), np.float32)
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        m = np.zeros((len(sets), width), np.float32)
+        m[:] = 0
         m[who[a:b], col[a:b] - k * width] = 1
-        both += m @ m.T
-    link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+        both += m[:cut] @ m[cut:].T if cut else m @ m.T
+    link = np.zeros((len(sets), len(sets)), bool)
+    for i, row in zip(rows.tolist(), both, strict=True):
+        shared = row.astype(float)
+        link[i, cols] = shared >= threshold * (size[i] + size[cols] - shared) - 1e-9
+    if cut:
+        link[cut:, :cut] = link[:cut, cut:].T
     np.fill_diagonal(link, False)
-    if split is not None:
-        link[:split, :split] = False
-        link[split:, split:] = False
     return link
 
 
@@ -146,13 +155,16 @@ def _verify(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     same = np.r_[False, (comp[order[1:]] == comp[order[:-1]]) & (node[order[1:]] == node[order[:-1]])]
     order = order[~same]  # repeated rows bring their set twice
     start = np.flatnonzero(np.r_[True, comp[order[1:]] != comp[order[:-1]]]) if len(order) else []
+    across = len(pdf) > 0 and pdf["lo"].iat[0] != pdf["hi"].iat[0]  # links inside a block are found where it meets itself
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a, b in zip(start, [*start[1:], len(order)], strict=True):
         if b - a < 2:
             continue
         at = order[a:b]
-        own, sides = node[at], side[at]
-        link = _linked([np.frombuffer(grams[i], X.U64) for i in at.tolist()], threshold, int((sides == 0).sum()) if sides.any() else None)
+        own, split = node[at], int((side[at] == 0).sum())
+        if across and not 0 < split < b - a:
+            continue
+        link = _linked([np.frombuffer(grams[i], X.U64) for i in at.tolist()], threshold, split if across else None)
         has = link.any(axis=1)
         if has.any():
             by_node = np.argsort(own, kind="stable")
@@ -175,9 +187,9 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bands, rows = choose_bands(threshold, recall)
     src = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), text_hash(text_col).alias("_hash"))
     sig = materialise(signatures(src, n, bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signatures")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    copies = sig.where("_key IS NOT NULL").groupBy("_key").agg(first.alias("f"), F.count(F.lit(1)).alias("size"))
-    copies = materialise(copies.select("_key", F.col("f.row").alias("node"), F.col("f.id").alias("id"), "size"), "copies")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("_hash").alias("hash")))
+    copies = sig.where("_key IS NOT NULL").groupBy("_key").agg(first.alias("f"), F.count(F.lit(1)).alias("size"), F.max("_n").alias("n"))
+    copies = materialise(copies.select("_key", F.col("f.row").alias("node"), F.col("f.id").alias("id"), F.col("f.hash").alias("hash"), "size", "n"), "copies")
 
     reps = sig.join(copies.select(F.col("node").alias("_row"), F.col("size")), "_row", "left_semi")
     cells = reps.select(F.col("_row").alias("node"), F.explode("_bands").alias("cell"))
@@ -186,11 +198,13 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = cells.join(full, "cell").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     groups = connected_components(materialise(star, "star")).withColumnRenamed("label", "comp")
 
-    spread = groups.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    cand = groups.join(spread, "comp").join(copies.withColumnRenamed("_key", "key"), "node")
-    cand = materialise(cand.select("comp", "blocks", "node", "id", "size", "key"), "candidates")
+    members = materialise(groups.join(copies.withColumnRenamed("_key", "key"), "node"), "members")
+    spread = members.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
+    cand = members.join(materialise(spread, "blocks"), "comp")
+    cand = materialise(cand.select("comp", "blocks", "node", "id", "hash", "size", "key"), "candidates")
     total = cand.count()
-    texts = src.join(_small(cand), F.col("_id").eqNullSafe(F.col("id"))).select("comp", "blocks", "node", "size", "key", "_text")
+    # Id and text hash together: many rows may share an id, or have none.
+    texts = src.join(_small(cand), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))).select("comp", "blocks", "node", "size", "key", "_text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
