@@ -1,119 +1,149 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-1. The word n-grams of the test items are counted over the whole corpus (documents that hold each one).
-2. Seeds of an item are its rare n-grams: those in at most ``max(32, n_docs / 10_000)`` documents, and in any case the
-   rarer half of its n-grams, so an item that many documents quote keeps its seeds.
-3. Documents are joined with the seeds map-side.  Hits of one item that lie close together form a window; a window is
-   aligned if it holds as many different seeds as a copy of the required similarity must (each edit breaks at most
-   ``n`` of them), so nothing above the threshold is lost to this test.
-4. Local alignment on words (match 2, mismatch -1, gap -1) gives a score, divided by that of the whole item.
-
-Test items are broadcast in blocks of ``BLOCK_WORDS`` words, so what is broadcast has a fixed bound whatever the
-size of the test set; each further block costs two more passes over the corpus.
-
-Defined results: a null or empty text, and an item of fewer than ``n`` words, match nothing; repeated items or rows
-match each; of several windows of one item in a text the best counts, and of equal ones the first; positions
-are word numbers, end exclusive; an empty table on either side gives no hit; extra columns pass through."""
+1. Each test item gives its word n-grams: of three words; of two where that is too long for the edits to be found (an
+   item of five words); of all its words if it has one or two.
+2. A bitmap of fixed size over the n-gram hashes goes to all tasks, whatever the size of the test set; the n-grams of the
+   documents that pass it are written out with document and position.
+3. Seeds of an item are its rare n-grams: those in at most ``max(32, n_docs / 10_000)`` documents, and in any case the
+   rarer half of them and more than the allowed edits can break, so an item that many documents quote keeps its seeds
+   and no copy loses all of them.
+4. Seeds and written n-grams are joined by a shuffle on the n-gram and grouped by document and item.  Hits that lie close
+   together form a window; it is aligned if it holds as many different seeds as a copy of the required similarity must
+   (each edit breaks at most ``n`` of them), so nothing above the threshold is lost to this test.
+5. Local alignment on words (match 2, mismatch -1, gap -1) gives a score, divided by that of the whole item.
+
+Texts are read twice, and only those of documents with candidates are aligned.  Beyond ``BROADCAST_BYTES`` of candidates
+the texts are thinned by a bitmap of the candidates' text hashes and joined by a shuffle.
+
+Defined results: a null or empty text or item matches nothing; an item of one or two words is found wherever its words
+stand in a row; repeated items or rows match each; of several windows of one item in a text the best counts, and of equal
+ones the first; positions are word numbers, end exclusive; an empty table on either side gives no hit; null ids are
+allowed; extra columns pass through."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textops as X
-from .common import fresh
+from .common import fresh, materialise
 
 N = 3
 SIMILARITY = 0.8
-BLOCK_WORDS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: A bitmap has 2**BITMAP_BITS bits (8 MB).
+BITMAP_BITS = 26
+#: Candidates of up to this many bytes, and up to this many rows to drop, are broadcast.
+BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = 500_000
+
+
+def edits(m: int, similarity: float) -> int:
+    """Words of an item of ``m`` words that a copy may change."""
+    return math.floor((1 - similarity) * m + 1e-9)
+
+
+def seed_width(m: int, n: int, similarity: float) -> int:
+    """The longest n-grams, up to ``n`` words, of which one is left whatever the allowed edits break."""
+    return next(w for w in range(min(n, m), 0, -1) if w == 1 or m - w + 1 > w * edits(m, similarity))
+
+
+def _text_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and row of each word, and the first word of each row and behind the last."""
+    data, offsets = X.buffers(col, lower=True)
+    s, e, rows = X.words(data, offsets)
+    return X.span_hashes(data, s, e), rows, np.searchsorted(rows, np.arange(len(offsets)))
+
 
+def item_profiles(items: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``(item, m, width, words, grams)`` for each ``(item, _text)`` with words."""
 
-class Items:
-    """A block of test items: word hashes, n-gram table, and after ``choose`` the seeds."""
-
-    def __init__(self, ids: list, texts: list[str], n: int = N, similarity: float = SIMILARITY):
-        self.ids, self.n, self.similarity = ids, n, similarity
-        data, offsets = X.buffers(pa.array(texts, pa.large_string()), lower=True)
-        s, e, rows = X.words(data, offsets)
-        h = X.span_hashes(data, s, e)
-        cut = np.searchsorted(rows, np.arange(len(ids) + 1))
-        self.words = [h[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        gram, item, _ = X.ngrams(h, rows, n)
-        pairs = sorted(set(zip(gram.tolist(), item.tolist(), strict=True)))
-        self.gram = np.array([p[0] for p in pairs], X.U64)
-        self.item = np.array([p[1] for p in pairs], np.int64)
-        self.distinct = np.unique(self.gram)
-
-    def choose(self, df: np.ndarray, n_docs: int) -> None:
-        """Keep the seeds; ``df`` counts the documents of each distinct n-gram."""
-        count = df[np.searchsorted(self.distinct, self.gram)] if len(self.gram) else np.zeros(0)
-        rank = np.zeros(len(self.gram), int)
-        size = np.bincount(self.item, minlength=len(self.ids))
-        order = np.lexsort((self.gram, count, self.item))
-        first = np.r_[0, np.cumsum(size)[:-1]]
-        rank[order] = np.arange(len(order)) - first[self.item[order]]
-        keep = (count <= max(32, n_docs // 10_000)) | (rank < (size[self.item] + 1) // 2)
-        self.gram, self.item = self.gram[keep], self.item[keep]
-        self.distinct = np.unique(self.gram)
-        self.start = np.searchsorted(self.gram, self.distinct)
-        self.stop = np.searchsorted(self.gram, self.distinct, side="right")
-        seeds = np.bincount(self.item, minlength=len(self.ids))
-        length = np.array([len(w) for w in self.words], int)
-        self.need = np.maximum(1, seeds - self.n * np.floor((1 - self.similarity) * length + 1e-9).astype(int))
-        #: e substitutions in m words give (2 (m - e) - e) / 2 m
-        self.least = 1 - 1.5 * (1 - self.similarity)
-
-    def positions(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``grams`` that hold an n-gram of the table, and its number there."""
-        if not len(self.distinct) or not len(grams):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k = np.searchsorted(self.distinct, grams)
-        k[k == len(self.distinct)] = 0
-        at = np.flatnonzero(self.distinct[k] == grams)
-        return at, k[at]
-
-    def hits(self, col: pa.Array) -> list[tuple[int, int, float, int, int]]:
-        """``(row, item, score, first word, last word + 1)`` of the best window of each item in each row."""
-        data, offsets = X.buffers(col, lower=True)
-        s, e, rows = X.words(data, offsets)
-        h = X.span_hashes(data, s, e)
-        gram, who, at = X.ngrams(h, rows, self.n)
-        place, k = self.positions(gram)
-        if not len(place):
-            return []
-        per = self.stop[k] - self.start[k]
-        seed = np.repeat(k, per)
-        inner = np.arange(len(seed)) - np.repeat(np.cumsum(per) - per, per)
-        item = self.item[self.start[seed] + inner]
-        row, pos = np.repeat(who[place], per), np.repeat(at[place], per)
-        order = np.lexsort((pos, item, row))
-        row, item, pos, seed = row[order], item[order], pos[order], seed[order]
-        length = np.array([len(w) for w in self.words])[item]
-        new = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > length[1:] * 3 // 2)]
-        window = np.cumsum(new) - 1
-        pairs = np.unique(np.stack([window, seed]), axis=1)[0]
-        seeds = np.bincount(pairs, minlength=window[-1] + 1)
-        head = np.flatnonzero(new)
-        last = np.r_[head[1:], len(row)] - 1
-        ok = seeds >= self.need[item[head]]
-        begin = np.searchsorted(rows, np.arange(len(offsets)))
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for a, b in zip(head[ok].tolist(), last[ok].tolist(), strict=True):
-            r, i = int(row[a]), int(item[a])
-            m = len(self.words[i])
-            lo, hi = max(int(begin[r]), int(pos[a]) - m - m // 4), min(int(begin[r + 1]), int(pos[b]) + m + m // 4 + self.n)
-            score, x, y = align(self.words[i], h[lo:hi])
-            score /= MATCH * m
-            if score >= self.least - 1e-9 and score > best.get((r, i), (0,))[0]:
-                best[r, i] = (score, lo + x - int(begin[r]), lo + y - int(begin[r]))
-        return [(r, i, *v) for (r, i), v in best.items()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in X.slices(batch, "_text"):
+                h, _, first = _text_words(X.column(part, "_text"))
+                rows = []
+                for key, a, b in zip(X.column(part, "item").to_pylist(), first[:-1], first[1:], strict=True):
+                    if b > a:
+                        w = seed_width(int(b - a), n, similarity)
+                        gram, _, _ = X.ngrams(h[a:b], np.zeros(b - a, np.int64), w)
+                        rows.append((key, int(b - a), w, h[a:b].tobytes(), np.unique(gram).view(np.int64).tolist()))
+                cols = [*zip(*rows, strict=True)] or [()] * 5
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["item", "m", "width", "words", "grams"])
+
+    return items.mapInArrow(run, "item long, m int, width int, words binary, grams array<bigint>")
+
+
+def bitmap_of(hashes: DataFrame, column: str) -> bytes:
+    """A bitmap over the leading bits of 64-bit hashes; at most 2**(BITMAP_BITS - 6) rows come to the driver."""
+    cell = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS)
+    words = hashes.select(F.shiftrightunsigned(cell, 6).alias("w"), F.expr("1L").alias("one"), (cell % 64).cast("int").alias("b"))
+    got = words.groupBy("w").agg(F.expr("bit_or(shiftleft(one, b))").alias("v")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), X.U64)
+    out[np.asarray(got["w"])] = np.asarray(got["v"]).view(X.U64)
+    return out.tobytes()
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes >> X.U64(64 - BITMAP_BITS)
+    return (bits[cell >> X.U64(6)] >> (cell & X.U64(63)) & X.U64(1)).astype(bool)
+
+
+def gram_hits(docs: DataFrame, bitmap: bytes, widths: list[int]) -> DataFrame:
+    """``(_id, _hash, gram, pos, first)`` for the n-grams of ``(_id, _hash, _text)`` that pass the bitmap."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, X.U64)
+        for batch in batches:
+            for part in X.slices(batch, "_text"):
+                h, rows, first = _text_words(X.column(part, "_text"))
+                for w in widths:
+                    gram, who, at = X.ngrams(h, rows, w)
+                    ok = np.flatnonzero(in_bitmap(bits, gram))
+                    if not len(ok):
+                        continue
+                    gram, who, at = gram[ok], who[ok], at[ok]
+                    order = np.lexsort((at, gram, who))
+                    gram, who, at = gram[order], who[order], at[order]
+                    new = np.r_[True, (gram[1:] != gram[:-1]) | (who[1:] != who[:-1])]
+                    take = pa.array(who)
+                    yield pa.RecordBatch.from_arrays([X.column(part, "_id").take(take), X.column(part, "_hash").take(take), pa.array(gram.view(np.int64)), pa.array(at - first[who], pa.int64()), pa.array(new.astype(np.int32))], names=["_id", "_hash", "gram", "pos", "first"])
+
+    kind = dict(docs.dtypes)["_id"]
+    return docs.mapInArrow(run, f"_id {kind}, _hash long, gram long, pos long, first int")
+
+
+def choose_seeds(profiles: DataFrame, frequency: DataFrame, n_docs: int, similarity: float) -> DataFrame:
+    """``(gram, item, need)``: the seeds of each item, and how many different ones a window must hold."""
+    rank = Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "gram")  # a partition is one item's n-grams
+    broken = F.col("width") * F.floor((1 - similarity) * F.col("m") + 1e-9)
+    all_ = profiles.select("item", "width", broken.alias("broken"), F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    ranked = all_.join(frequency, "gram", "left").withColumn("rank", F.row_number().over(rank))
+    kept = ranked.where((F.coalesce("df", F.lit(0)) <= max(32, n_docs // 10_000)) | (F.col("rank") <= F.greatest(F.ceil(F.col("size") / 2), F.col("broken") + 1)))
+    seeds = F.count(F.lit(1)).over(Window.partitionBy("item"))
+    return kept.select("gram", "item", F.greatest(F.lit(1), seeds - F.col("broken")).alias("need"))
+
+
+def best_window(words: np.ndarray, text: np.ndarray, pos: np.ndarray, gram: np.ndarray, need: int, n: int, least: float) -> tuple[float, int, int] | None:
+    """Score, first word and last word + 1 of the best window of an item in a text; ``pos`` is sorted."""
+    m, best = len(words), None
+    head = np.flatnonzero(np.r_[True, np.diff(pos) > m * 3 // 2])
+    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(pos)], strict=True):
+        if len(np.unique(gram[a:b])) < need:
+            continue
+        lo, hi = max(0, int(pos[a]) - m - m // 4), min(len(text), int(pos[b - 1]) + m + m // 4 + n)
+        score, x, y = align(words, text[lo:hi])
+        score /= MATCH * m
+        if score >= least - 1e-9 and (best is None or score > best[0]):
+            best = score, lo + x, lo + y
+    return best
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -141,88 +171,93 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, j - back, j
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, n: int, similarity: float, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The items in blocks of bounded size, streamed to the driver partition by partition."""
-    ids, texts, size = [], [], 0
-    for r in items.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).toLocalIterator():
-        words = len(r.t) // 2
-        if ids and size + words > block_words:
-            yield Items(ids, texts, n, similarity)
-            ids, texts, size = [], [], 0
-        ids.append(r.i)
-        texts.append(r.t)
-        size += words
-    if ids:
-        yield Items(ids, texts, n, similarity)
-
-
-def prepare(docs: DataFrame, block: Items, text_col: str) -> Items:
-    """Counts the block's n-grams over all documents and chooses its seeds."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = sent.value
-        df, n_docs = np.zeros(len(b.distinct) + 1, np.int64), 0
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
+
+
+def _same_row(a: Column, b: Column, c: Column, d: Column) -> Column:
+    return a.eqNullSafe(b) & (c == d)
+
+
+def candidates(docs: DataFrame, profiles: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``(_cid, _chash, items)``: for each document, the items with enough seeds in it and their hits."""
+    grams = profiles.select(F.explode("grams").alias("gram"))
+    widths = sorted(r.width for r in profiles.select("width").distinct().collect())  # at most n
+    hits = materialise(gram_hits(docs, bitmap_of(grams, "gram"), widths), "hits")
+    frequency = materialise(hits.groupBy("gram").agg(F.sum("first").alias("df")), "frequencies")
+    seeds = materialise(choose_seeds(profiles, frequency, docs.count(), similarity), "seeds")
+    each = hits.join(seeds, "gram").groupBy("_id", "_hash", "item").agg(F.max("need").alias("need"), F.sort_array(F.collect_set(F.struct("pos", "gram"))).alias("hits"))
+    each = each.where(F.size(F.array_distinct(F.transform("hits", lambda x: x["gram"]))) >= F.col("need"))
+    each = each.join(profiles.select("item", "words"), "item")
+    per_doc = each.groupBy("_id", "_hash").agg(F.collect_list(F.struct("item", "need", "words", "hits")).alias("items"))
+    return materialise(per_doc.withColumnsRenamed({"_id": "_cid", "_hash": "_chash"}), "candidates")
+
+
+def matches(docs: DataFrame, items: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``(_id, _hash, item, score, first_word, last_word)``: each item of ``(item, _text)`` in each row of ``docs``."""
+    profiles = materialise(item_profiles(items.dropDuplicates(["item"]), n, similarity), "items")
+    near = candidates(docs, profiles, n, similarity)
+    size = F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + F.length(x["words"]) + 16 * F.size(x["hits"]))
+    if (near.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+        near = F.broadcast(near)
+    else:
+        docs = _thinned(docs, bitmap_of(near, "_chash"))
+    texts = docs.join(near, _same_row(F.col("_id"), F.col("_cid"), F.col("_hash"), F.col("_chash"))).select("_id", "_hash", "_text", "items")
+    #: e substitutions in m words give (2 (m - e) - e) / 2 m
+    least = 1 - 1.5 * (1 - similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in X.slices(batch, "_text"):
-                data, offsets = X.buffers(X.column(part, "_text"), lower=True)
-                s, e, rows = X.words(data, offsets)
-                gram, who, _ = X.ngrams(X.span_hashes(data, s, e), rows, b.n)
-                at, k = b.positions(gram)
-                pairs = np.unique(who[at] * (len(b.distinct) + 1) + k)
-                df += np.bincount(pairs % (len(b.distinct) + 1), minlength=len(df))
-                n_docs += part.num_rows
-        df[-1] = n_docs
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(at, pa.int32()), "n": pa.array(df[at], pa.int64())})
-
-    text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    got = text.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # one row for each n-gram of the block
-    df = np.zeros(len(block.distinct) + 1, np.int64)
-    for r in got:
-        df[r.k] = r.n
-    block.choose(df[:-1], int(df[-1]))
-    return block
+                h, _, first = _text_words(X.column(part, "_text"))
+                out = []
+                for r, found in enumerate(X.column(part, "items").to_pylist()):
+                    own = h[first[r] : first[r + 1]]
+                    for x in found:
+                        pos, gram = (np.array([y[c] for y in x["hits"]], np.int64) for c in ("pos", "gram"))
+                        got = best_window(np.frombuffer(x["words"], X.U64), own, pos, gram, x["need"], n, least)
+                        if got:
+                            out.append((r, x["item"], *got))
+                take = pa.array([x[0] for x in out], pa.int64())
+                cols = [pa.array([x[k] for x in out], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([X.column(part, "_id").take(take), X.column(part, "_hash").take(take), *cols], names=["_id", "_hash", "item", "score", "first_word", "last_word"])
+
+    kind = dict(docs.dtypes)["_id"]
+    return texts.mapInArrow(run, f"_id {kind}, _hash long, item long, score double, first_word long, last_word long")
+
+
+def _thinned(docs: DataFrame, bitmap: bytes) -> DataFrame:
+    """The rows of ``(_id, _hash, _text)`` whose hash passes the bitmap."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, X.U64)
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits, np.asarray(X.column(batch, "_hash")).view(X.U64))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _items(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    text = F.coalesce(F.col(item_text), F.lit(""))
+    return items.select(F.col(item_id).alias("_item_id"), F.xxhash64(text).alias("item"), text.alias("_text"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, similarity: float = SIMILARITY) -> DataFrame:
     """``(id_col, item_id, score, first_word, last_word)``: each item found in each document."""
-    kinds = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id]
-    schema = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, score double, first_word long, last_word long"
-    found = []
-    for block in blocks(items, item_id, item_text, n, similarity):
-        sent = docs.sparkSession.sparkContext.broadcast(prepare(docs, block, text_col))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            b = sent.value
-            for batch in batches:
-                for part in X.slices(batch, "_text"):
-                    hits = b.hits(X.column(part, "_text"))
-                    if hits:
-                        ids = X.column(part, "_id").take(pa.array([x[0] for x in hits]))
-                        what = pa.array([b.ids[x[1]] for x in hits])
-                        yield pa.RecordBatch.from_arrays([ids, what.cast(arrow_item), pa.array([x[2] for x in hits]), pa.array([x[3] for x in hits], pa.int64()), pa.array([x[4] for x in hits], pa.int64())], names=[id_col, item_id, "score", "first_word", "last_word"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        arrow_item = to_arrow_type(items.schema[item_id].dataType)
-        rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        found.append(rows.mapInArrow(run, schema))
-    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], T._parse_datatype_string(schema))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, similarity: float = SIMILARITY) -> DataFrame:
+    tests = _items(items, item_id, item_text)
+    found = matches(_keyed(docs, id_col, text_col), tests.select("item", "_text"), n, similarity)
+    named = found.join(tests.select("item", "_item_id"), "item")
+    return named.select(F.col("_id").alias(id_col), F.col("_item_id").alias(item_id), "score", "first_word", "last_word")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found."""
-    (text,) = fresh(docs, "_text")
-    for block in blocks(items, item_id, item_text, n, similarity):
-        sent = docs.sparkSession.sparkContext.broadcast(prepare(docs, block, text_col))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in X.slices(batch, text):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[x[0] for x in sent.value.hits(X.column(part, text))]] = False
-                    yield part.drop_columns([text]).filter(pa.array(keep))
-
-        docs = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, docs.schema)
-    return docs
+    tests = _items(items, item_id, item_text).select("item", "_text")
+    found = matches(_keyed(docs, id_col, text_col), tests, n, similarity)
+    i, h = fresh(docs, "_id", "_hash")
+    gone = materialise(found.select(F.col("_id").alias(i), F.col("_hash").alias(h)).distinct(), "contaminated")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, _same_row(F.col(id_col), F.col(i), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.col(h)), "left_anti")
