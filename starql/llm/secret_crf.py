@@ -1,10 +1,11 @@
 """Secret scan: three base patterns plus a linear-chain conditional random field.
 
-A *token* is a maximal run of ``[A-Za-z0-9+/_=-]``.  The field tags each token B (a secret begins), I (inside) or O
+A *token* is a maximal run of ``[A-Za-z0-9+/_-]``, with one or two ``=`` at its end.  The field tags each token B (a secret begins), I (inside) or O
 (outside) from its shape, the neighbouring words and separators, and features of the whole text; the best path is
-found by Viterbi.  Part of the model are hard constraints: B and I need a token of 8 or more characters that has a
-digit, or of 20 or more that mixes cases.  All other tokens are O on every path, so the chain falls apart at them
-and only runs of admissible tokens need to be decoded; the result is that of decoding the whole text.
+found by Viterbi.  A token that is far from any key word (none in the ``NEAR`` bytes before it) and has no secret-like
+shape (8 or more characters with a digit, or 20 or more that mix cases) is O on every path, and so is one of fewer than
+``SHORTEST`` characters.  The chain falls apart at such tokens, so only the runs between them need to be decoded; the
+result is that of decoding the whole text.  Next to a key word every token is left to the weights.
 
 The field is fitted on the driver to texts that a seeded generator writes from the templates below (assignments,
 headers, prefixed keys, and look-alikes that are no secrets); the weights (a table of fixed size) are broadcast.
@@ -32,15 +33,21 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
-HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
+# Words that announce a secret, and parts of them that a text must hold to be searched for them.
+KEY_WORD = re.compile(rb"(?i)pass(?:word|wd|phrase|code)|\bpwd\b|secret|token|api[ _-]?key|(?:private|access|license)[ _-]?key|credential|bearer|\bauth|\blog ?in\b|\bkey\b")
+KEY_PARTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"auth", b"login", b"log in")
 
 B, I, O = 0, 1, 2
-DIM = 1 << 12
+DIM = 1 << 13
 CONTEXT = 48
+NEAR = 40
+SHORTEST = 4
 NEG = -1e9
 
+_TOK = re.compile(rb"[A-Za-z0-9+/_-]+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 _TOKEN = np.zeros(256, bool)
-for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-":
+for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-":
     _TOKEN[_c] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -71,14 +78,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _has_hint(text: str) -> bool:
-    low = text.lower()
-    return any(h in low for h in HINTS)
+def secret_shape(token: str | bytes) -> bool:
+    """8 or more characters with a digit, or 20 or more that mix cases."""
+    t = token.decode() if isinstance(token, bytes) else token
+    n = len(t)
+    return n >= 8 and any(c.isdigit() for c in t) or n >= 20 and t != t.lower() and t != t.upper()
+
 
+def after_key_words(raw: bytes) -> list[tuple[int, int]]:
+    """Byte ranges in which a token that starts there is near a key word."""
+    low = raw.lower()
+    if not any(p in low for p in KEY_PARTS):
+        return []
+    return [(m.end(), m.end() + NEAR) for m in KEY_WORD.finditer(raw)]
 
-def admissible(token: str) -> bool:
-    n = len(token)
-    return n >= 8 and any(c.isdigit() for c in token) or n >= 20 and token != token.lower() and token != token.upper()
+
+def open_tokens(raw: bytes) -> list[tuple[int, int]]:
+    """The tokens of a text that may be part of a secret."""
+    near = after_key_words(raw)
+    out, k = [], 0
+    for m in _TOK.finditer(raw):
+        a, b = m.span()
+        while k < len(near) and near[k][1] < a:
+            k += 1
+        if b - a >= SHORTEST and (k < len(near) and near[k][0] <= a or secret_shape(m[0])):
+            out.append((a, b))
+    return out
 
 
 def _f(kind: str, value: object) -> int:
@@ -102,6 +127,10 @@ def token_features(before: str, token: str, after: str, of_file: list[int]) -> l
     follow = re.search(r"[^\W\d_]+", after.lower())
     gap = re.search(r"[^\w]*$", before)[0][-4:]
     classes = f"{up > 0:d}{low > 0:d}{dig > 0:d}{n > up + low + dig:d}"
+    keys = list(KEY_WORD.finditer(before.encode()))
+    key = keys[-1][0].lower().decode() if keys else ""
+    between = re.findall(r"[^\W\d_]+", before.encode()[keys[-1].end() :].decode("utf-8", "ignore").lower()) if keys else []
+    vowels, hard = sum(c in "aeiouyAEIOUY" for c in token), max(map(len, re.findall(r"[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+", token)), default=0)
     out = [
         _f("bias", 1),
         _f("shape", re.sub(r"(.)\1+", r"\1", shape)[:6]),
@@ -116,6 +145,14 @@ def token_features(before: str, token: str, after: str, of_file: list[int]) -> l
         _f("gap", re.sub(r"\s+", " ", gap)),
         _f("right", after[:1] if not after[:1].isalnum() else "a"),
         _f("next", follow[0] if follow else ""),
+        _f("key", key),
+        _f("between", " ".join(between[:3]) if keys else "none"),
+        _f("apart", (min(len(between), 4), bool(keys), gap.strip()[:2])),
+        _f("apart.classes", (min(len(between), 3), bool(keys), classes, min(n // 4, 5))),
+        _f("size.classes", (classes, min(n, 24))),
+        _f("vowels", (classes, vowels * 6 // n)),
+        _f("hard", (classes, min(hard, 7))),
+        _f("closed", (token.lower() == token, n >= 12, min(len(between), 2), bool(keys))),
     ]
     out += [_f(f"prev{k}", words[-k]) for k in (1, 2) if len(words) >= k]
     return out + of_file
@@ -175,6 +212,8 @@ class Field:
 # The templates of the generated training texts.  {v} is a secret, {n} a look-alike that is none.
 KEYS = ["password", "passwd", "secret", "token", "api_key", "apikey", "access key", "client_secret", "auth", "private_key", "credential", "pwd"]
 WITH_SECRET = ['{k} = "{v}"', "{k}: {v}", "{k}={v}", '"{k}": "{v}"', "Authorization: Bearer {v}", "export {K}={v}", "--{k} {v}", "{k} is {v}", "your {k} {v}", "{k} {v} expires", "x-{k}: {v}", "login with {k} '{v}'", "key {v}", "{w} ghp_{a}", "{w} sk-{a}", "{w} xoxb-{a}", "{v}.{v}.{v}"]
+WITH_WEAK = ["{k} is {s}", "your {k} is {s}", "the {k} is {s} .", "login with {k} {s}", "login with {k} '{s}'", "use {k} {s} to enter", "{k}: {s}", "my {k} was {s}", "{k} = {s}", "set the {k} to {s}", "with the {k} {s}", "new {k} {s}", "{K}={s}", "{k} -> {s}", "{k} ({s})"]
+AROUND_KEYS = ["the {k} was {w}", "{k} is {w}", "{k} {w}", "forgot the {k} {w}", "change your {k} {w} {w}", "{k} policy for {w}", "a {k} of {w}", "no {k} needed", "{k} required", "the {k} is required", "the {k} has expired", "enter {k} here", "{k} and {w}", "{k} must be long", "in the {k} of {w} {w}", "reset {k} at {u}", "{k} on {d}", "{k} number {c}", "{k} see page {y}", "{k} {ver}", "{k} for {m}"]
 WITHOUT = ["call {p}", "from {ip}", "card {c}", "on {d}", "mail {m}", "version {ver}", "see {u}", "order = {c}", "id: {i}", "isbn {isbn}", "page {i}", "{L}", "{h}", "{w} {c} {w}", "{C}", "commit {i}", "{y}-{y}", "{w}{i}"]
 
 
@@ -188,29 +227,43 @@ def generated(seed: int = 11, count: int = 700) -> Iterator[tuple[str, list[tupl
     alnum = lower + lower.upper() + digits
     strong = [lambda: some(alnum, 16, 44), lambda: some(alnum + "+/", 20, 44) + pick(["", "=", "=="]), lambda: some(digits + "abcdef", 16, 64), lambda: some(lower + digits, 16, 40), lambda: some(alnum + "_-", 20, 44), lambda: some(lower.upper() + digits, 16, 32)]
 
-    def secret() -> str:
-        while not admissible(value := pick(strong)()):
-            pass
-        return value
+    secret = lambda: pick(strong)()
+    phrase = lambda: "".join(word() for _ in range(int(r.integers(3, 6))))
+
+    def weak() -> str:
+        """What people choose: short, or without digits."""
+        kind = int(r.integers(6))
+        if kind == 0:
+            return some(alnum, 6, 14)
+        if kind == 1:
+            return (phrase() + "correct")[: int(r.integers(13, 30))]
+        if kind == 2:
+            return "-".join(word() + pick(lower) for _ in range(4))
+        if kind == 3:
+            return "".join(c.upper() if r.random() < 0.5 else c for c in some(lower, 8, 18))
+        if kind == 4:
+            return word().title() + num(int(r.integers(2, 5)))
+        return some(lower, 10, 24)
 
     num = lambda n: some(digits, n, n + 1)
     other = {
         "p": lambda: f"+1 ({num(3)}) {num(3)}-{num(4)}", "ip": lambda: ".".join(num(2) for _ in range(4)), "c": lambda: num(int(r.integers(8, 20))), "d": lambda: f"20{num(2)}-0{num(1)}-1{num(1)}T1{num(1)}", "m": lambda: f"{word()}.{num(2)}@mail{num(1)}.example.com",
         "ver": lambda: f"v{num(1)}.{num(2)}.{num(1)}-rc{num(1)}", "u": lambda: f"https://{word()}.example.org/{word()}/{num(6)}/{word()}-{word()}-{num(4)}", "i": lambda: num(int(r.integers(4, 12))), "isbn": lambda: f"978-{num(1)}-{num(5)}-{num(3)}-{num(1)}", "L": lambda: "".join(word() for _ in range(4)),
-        "h": lambda: "-".join(word() for _ in range(int(r.integers(3, 6)))), "C": lambda: "".join(word().title() for _ in range(5)), "y": lambda: "20" + num(2), "w": word, "k": lambda: pick(KEYS), "K": lambda: pick(KEYS).upper().replace(" ", "_"), "v": secret, "a": lambda: some(alnum, 24, 40),
+        "h": lambda: "-".join(word() for _ in range(int(r.integers(3, 6)))), "C": lambda: "".join(word().title() for _ in range(5)), "y": lambda: "20" + num(2), "w": word, "k": lambda: pick(KEYS), "s": weak, "K": lambda: pick(KEYS).upper().replace(" ", "_"), "v": secret, "a": lambda: some(alnum, 24, 40),
     }
     for _ in range(count):
         text, spans = "", []
+        prose = int(pick([2, 2, 10, 40]))  # from dense files to prose with a secret here and there
         for _ in range(int(r.integers(3, 7))):
-            text += " ".join(word() for _ in range(int(r.integers(2, 8)))) + pick([" ", "\n", ". ", " | ", "### "])
-            part = pick(WITH_SECRET if r.random() < 0.45 else WITHOUT)
+            text += " ".join(word() for _ in range(int(r.integers(prose, 4 * prose)))) + pick([" ", "\n", ". ", " | ", "### "])
+            part = pick(pick([WITH_SECRET, WITH_WEAK, WITHOUT, WITHOUT, AROUND_KEYS]))
             jwt = part.count("{v}") > 1
             began = len(text)
             for lit, name in re.findall(r"([^{]*)(?:\{(\w+)\})?", part):
                 text += lit
                 if name:
                     value = other[name]()
-                    if name in "va" and not jwt:
+                    if name in "vas" and not jwt:
                         at = len(text) - (len(re.search(r"[\w-]*$", lit)[0]) if name == "a" else 0)
                         spans.append((at, len(text) + len(value)))
                     text += value
@@ -220,31 +273,31 @@ def generated(seed: int = 11, count: int = 700) -> Iterator[tuple[str, list[tupl
         yield text, spans
 
 
-_TOK = re.compile(r"[A-Za-z0-9+/_=-]+")
+def sequence(text: str) -> tuple[list[list[int]], list[bool], list[tuple[int, int]]]:
+    """Features, openness and byte span of each token of a whole text."""
+    raw = text.encode()
+    of_file, ready = file_features(raw), set(open_tokens(raw))
+    at = [m.span() for m in _TOK.finditer(raw)]
+    return [_features(raw, a, b, of_file) for a, b in at], [x in ready for x in at], at
 
 
-def sequence(text: str) -> tuple[list[list[int]], list[bool], list[tuple[int, int]]]:
-    of_file = file_features(text.encode())
-    seq, open_, at = [], [], []
-    for m in _TOK.finditer(text):
-        a, b = m.span()
-        seq.append(token_features(text[max(0, a - CONTEXT) : a], m[0], text[b : b + CONTEXT], of_file))
-        open_.append(admissible(m[0]))
-        at.append((a, b))
-    return seq, open_, at
+def _features(raw: bytes, a: int, b: int, of_file: list[int]) -> list[int]:
+    return token_features(raw[max(0, a - CONTEXT) : a].decode("utf-8", "ignore"), raw[a:b].decode(), raw[b : b + CONTEXT].decode("utf-8", "ignore"), of_file)
 
 
 def fit(seed: int = 11, count: int = 700, epochs: int = 5, rate: float = 0.3) -> Field:
     """Stochastic gradient ascent on the penalised likelihood of the generated texts."""
     data = []
     for text, spans in generated(seed, count):
-        seq, open_, at = sequence(text)
-        tags = []
+        raw = text.encode()
+        of_file, ready, at = file_features(raw), set(open_tokens(raw)), [m.span() for m in _TOK.finditer(raw)]
+        open_ = [x in ready for x in at]
+        tags: list[int] = []
         for (a, b), ok in zip(at, open_, strict=True):
             hit = next((s for s in spans if s[0] <= a and b <= s[1] + 1), None)
             tags.append(O if hit is None or not ok else B if a == hit[0] or O in tags[-1:] or not tags else I)
-        keep = [i for i in range(len(seq)) if any(open_[max(0, i - 1) : i + 2])]  # closed tokens far from open ones are O on any path
-        data.append(([seq[i] for i in keep], [open_[i] for i in keep], [tags[i] for i in keep]))
+        keep = [i for i in range(len(at)) if any(open_[max(0, i - 1) : i + 2])]  # closed tokens far from open ones are O on any path
+        data.append(([_features(raw, *at[i], of_file) for i in keep], [open_[i] for i in keep], [tags[i] for i in keep]))
     field, ge, gm = Field(), np.full((DIM, 3), 1e-2), np.full((3, 3), 1e-2)
     order = np.random.Generator(np.random.PCG64(seed + 1))
     for _ in range(epochs):
@@ -264,13 +317,13 @@ def fit(seed: int = 11, count: int = 700, epochs: int = 5, rate: float = 0.3) ->
 
 
 def crf_spans(field: Field, raw: bytes, at: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Byte spans of secrets, from the admissible tokens ``at`` of a text (byte positions)."""
+    """Byte spans of secrets, from the open tokens ``at`` of a text (byte positions)."""
     of_file = file_features(raw)
     out: list[list[int]] = []
     chain: list[tuple[int, int]] = []
 
     def flush() -> None:
-        seq = [token_features(raw[max(0, a - CONTEXT) : a].decode("utf-8", "ignore"), raw[a:b].decode(), raw[b : b + CONTEXT].decode("utf-8", "ignore"), of_file) for a, b in chain]
+        seq = [_features(raw, a, b, of_file) for a, b in chain]
         for (a, b), tag in zip(chain, field.viterbi(field.scores(seq, [True] * len(seq))), strict=True):
             if tag == B:
                 out.append([a, b])
@@ -295,31 +348,29 @@ def scan_batch(field: Field, col: pa.Array) -> list[list[tuple[int, int, int]]]:
     np.cumsum(_DIGIT[data], out=digits[1:])
     s, e = runs(_TOKEN[data], offsets)
     size = e - s
-    want = np.flatnonzero((size >= 8) & (digits[e] > digits[s]) | (size >= 20))
-    s, e = s[want], e[want]
-    where = X.doc_of(offsets, s)
+    shaped = np.zeros(len(offsets) - 1, bool)  # rows that may hold a token of secret-like shape
+    shaped[X.doc_of(offsets, s[(size >= 8) & (digits[e] > digits[s]) | (size >= 20)])] = True
     hs, he = runs(_HEX[data], offsets)
     has_hex = np.zeros(len(offsets) - 1, bool)
     has_hex[X.doc_of(offsets, hs[he - hs >= 24])] = True
-    tokens: dict[int, list[tuple[int, int]]] = {}
-    for a, b, d in zip(s.tolist(), e.tolist(), where.tolist(), strict=True):
-        if admissible(raw[a:b].decode()):
-            o = int(offsets[d])
-            tokens.setdefault(d, []).append((a - o, b - o))
     out = []
     for d, (o, p) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         own = raw[o:p]
         low = own.lower()
-        text = own.decode() if has_hex[d] or d in tokens or b"AKIA" in own or any(h.encode() in low for h in HINTS) else ""
+        announced = any(w in low for w in KEY_PARTS)
+        text = own.decode() if has_hex[d] or b"AKIA" in own or announced else ""
         found = base_spans(text) if text else []
-        if d in tokens:
-            more = []
-            for a, b in crf_spans(field, own, tokens[d]):
-                x = len(own[:a].decode())
-                y = x + len(own[a:b].decode())
-                if not any(u < y and x < v for u, _, v in found):
-                    more.append((x, 3, y))
-            found = sorted(found + more)
+        tokens = open_tokens(own) if shaped[d] or announced else []
+        spans = crf_spans(field, own, tokens) if tokens else []
+        if spans:
+            chars = np.r_[0, np.cumsum((data[o:p] & 0xC0) != 0x80)]  # characters before each byte position
+            taken = np.zeros(int(chars[-1]) + 1, np.int64)
+            for u, _, v in found:
+                taken[u] += 1
+                taken[v] -= 1
+            taken = np.r_[0, np.cumsum(np.cumsum(taken) > 0)]  # characters of base spans before each position
+            at = chars[np.array(spans)].tolist()
+            found = sorted(found + [(x, 3, y) for x, y in at if taken[x] == taken[y]])
         out.append(found)
     return out
 
