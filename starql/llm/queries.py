@@ -84,7 +84,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents", ["doc_id", "text"]))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    runs = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), runs.alias("removed"))
 
 
 OP6_SQL = r"""
@@ -121,10 +122,12 @@ g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY
 m AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
 r AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM m GROUP BY doc_id, run),
 e AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM r),
-c AS (SELECT e.doc_id, sum(hi - lo) AS gone, count(*) AS runs, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept
+c AS (SELECT e.doc_id, sum(hi - lo) AS gone, count(*) AS runs, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept,
+             string_agg(lo || ':' || hi, ',' ORDER BY lo) AS spans
       FROM e JOIN b ON e.doc_id = b.doc_id GROUP BY e.doc_id)
 SELECT b.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256,
+       CAST(len(h) // 2 - coalesce(gone, 0) AS BIGINT) AS n_kept, coalesce(spans, '') AS removed
 FROM b LEFT JOIN c ON b.doc_id = c.doc_id
 """
 

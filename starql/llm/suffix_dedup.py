@@ -14,8 +14,12 @@ A corpus is far too long for one array, so it is cut into small problems that lo
    with both neighbours follows the largest stretch around the anchor that repeated strings cover.
 4. Stretches are collected for each text, merged and cut out of its bytes.
 
-A gram with more than ``large`` different slices is divided by the half of either margin that lies next to the gram (a
-common string has one of these halves in full), first over tasks, then within a task until each suffix array is small.
+The slices of a gram with more than ``large`` different ones never come together in a task.  Such a group is divided by
+where a common string may lie: if it has between ``lo`` and ``hi`` bytes left of the gram, then ``lo`` bytes there and
+``SPAN - GRAM - hi`` on the right are common in full, so only slices that agree in these can share it.  Slices that
+agree in all that strings of the interval can cover are copies there: this settles them, and one goes on for all.  The
+intervals get narrower in ``STEPS`` as long as a group of agreeing slices is too large, down to one value, where whole
+strings are compared.  Groups are counted by hash with map-side aggregation, and groups of one are dropped on the way.
 
 Defined results: null counts as empty; matches do not cross rows; repeated rows are repeats of one another; texts
 shorter than ``SPAN`` keep all bytes; what remains is bytes and may not be valid UTF-8; null or repeated ids are
@@ -24,6 +28,7 @@ allowed; an empty table gives an empty result."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,7 +43,9 @@ from .suffix_array import common_prefixes, suffix_array
 SPAN = 400
 GRAM = 256
 MARGIN = SPAN - GRAM
-LARGE = 4096
+LARGE = 1024
+#: Widths of the intervals in which groups that are too large are divided, one after the other.
+STEPS = (72, 24, 6, 0)
 #: Symbols of one suffix array (some 300 bytes of working memory each).
 SYMBOLS = 300_000
 #: Lists of up to this many entries in all (some 5 MB) are broadcast; longer ones are joined by a shuffle.
@@ -216,11 +223,11 @@ def stretches(slices: list[tuple[bytes, int, bytes]], most: int = SYMBOLS, span:
 
 
 def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    gram, side, part, check = (pdf[c].to_numpy() for c in ("gram", "side", "part", "check"))
+    group, gram, part, check = (pdf[c].to_numpy() for c in ("group", "gram", "part", "check"))
     left, right = pdf["l"].tolist(), pdf["r"].tolist()
-    order = np.lexsort((part, side, gram))
-    g, d, p = gram[order], side[order], part[order]
-    new = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]
+    order = np.lexsort((part, group))
+    g, p = group[order], part[order]
+    new = np.r_[True, g[1:] != g[:-1]]
     order, start = order[(first := new | np.r_[True, p[1:] != p[:-1]])], np.flatnonzero(new[first])
     out = []
     for a, b in zip(start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
@@ -231,28 +238,89 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["gram", "part", "a", "b"]).astype("int64")
 
 
-def _fetch(texts: DataFrame, large: int) -> DataFrame:
-    """The margins of wanted slices, from ``(_text, want)`` with ``want`` an array of (gram, part, pos, k)."""
+#: A slice that is wanted: its place, its group, and the interval in which common strings are looked for.
+_WANT = ("gram", "part", "pos", "lo", "hi", "group")
+
+
+def _with_texts(docs: DataFrame, want: DataFrame) -> DataFrame:
+    """``(_id, _hash, _text, want)`` for the texts that hold wanted slices."""
+    each = want.groupBy("_id", "_hash").agg(F.collect_list(F.struct(*_WANT)).alias("want")).withColumnsRenamed({"_id": "_wid", "_hash": "_whash"})
+    each = materialise(each, "wanted")
+    return docs.join(_small(each, "want"), F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_hash") == F.col("_whash"))).select("_id", "_hash", "_text", "want")
+
+
+def _fetch(texts: DataFrame) -> DataFrame:
+    """The margins of wanted slices, as far as strings of their interval reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in X.slices(batch, "_text"):
-                rows: dict[str, list] = {c: [] for c in ("gram", "part", "side", "check", "l", "r")}
+                rows: dict[str, list] = {c: [] for c in ("group", "gram", "part", "check", "l", "r")}
                 for text, want in zip(X.column(part, "_text").to_pylist(), X.column(part, "want").to_pylist(), strict=True):
                     raw = text.encode()
                     for w in want:
                         p = w["pos"]
-                        left, mid, right = raw[max(0, p - MARGIN) : p], raw[p : p + GRAM], raw[p + GRAM : p + SPAN]
-                        check = hash_bytes(mid)
-                        half = MARGIN // 2
-                        sides = [0] if w["k"] <= large else ([hash_bytes(b"L" + left[-half:])] if len(left) >= half else []) + ([hash_bytes(b"R" + right[:half])] if len(right) >= half else [])
-                        for side in sides:
-                            for c, v in zip(rows, (w["gram"], w["part"], side, check, left, right), strict=True):
-                                rows[c].append(v)
+                        left, mid, right = raw[max(0, p - w["hi"]) : p], raw[p : p + GRAM], raw[p + GRAM : p + SPAN - w["lo"]]
+                        for c, v in zip(rows, (w["group"], w["gram"], w["part"], hash_bytes(mid), left, right), strict=True):
+                            rows[c].append(v)
                 types = [pa.int64()] * 4 + [pa.binary()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
 
-    return texts.mapInArrow(run, "gram long, part long, side long, check long, l binary, r binary")
+    return texts.mapInArrow(run, "group long, gram long, part long, check long, l binary, r binary")
+
+
+def _divide(texts: DataFrame, width: int) -> DataFrame:
+    """The wanted slices once for each interval of ``width`` within theirs: hash ``key`` of what all strings of the
+    interval have in common, hash ``whole`` of all that they can cover, and the bytes ``a`` and ``b`` on either side that
+    this has.  Slices that are too short for an interval are left out of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in X.slices(batch, "_text"):
+                data, offsets = X.buffers(X.column(part, "_text"))
+                rows = [(r, w["gram"], w["part"], w["pos"], w["lo"], w["hi"]) for r, ws in enumerate(X.column(part, "want").to_pylist()) for w in ws]
+                row, gram, slice_, pos, lo, hi = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+                each = (hi - lo) // width if width else hi - lo + 1
+                who = np.repeat(np.arange(len(row)), each)
+                lo = lo[who] + (np.arange(len(who)) - np.repeat(np.cumsum(each) - each, each)) * max(width, 1)
+                row, pos = row[who], pos[who]
+                begin, end, size = pos - lo, pos + SPAN - lo - width, np.diff(offsets)
+                ok = (begin >= 0) & (end <= size[row])
+                who, row, lo, pos = who[ok], row[ok], lo[ok], pos[ok]
+                a, b = np.minimum(lo + width, pos), np.minimum(MARGIN - lo, size[row] - pos - GRAM)
+                at = offsets[row] + pos
+                key = X.span_hashes(data, at - lo, at + SPAN - lo - width)
+                whole = X.mix(X.span_hashes(data, at - a, at + GRAM + b) + a.astype(X.U64))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [X.column(part, "_id").take(take), X.column(part, "_hash").take(take), *[pa.array(c) for c in (gram[who], slice_[who], pos, lo, lo + width, a, b, key.view(np.int64), whole.view(np.int64))]],
+                    names=["_id", "_hash", "gram", "part", "pos", "lo", "hi", "a", "b", "key", "whole"],
+                )
+
+    kind = dict(texts.dtypes)["_id"]
+    return texts.mapInArrow(run, f"_id {kind}, _hash long, gram long, part long, pos long, lo long, hi long, a long, b long, key long, whole long")
+
+
+def _settle(docs: DataFrame, want: DataFrame, large: int) -> DataFrame:
+    """``(gram, part, a, b)`` from the wanted slices, given the size ``k`` of the group of each."""
+    ready, found = [want.where(F.col("k") <= large)], []
+    for width in STEPS:
+        want = want.where(F.col("k") > large)
+        if not want.limit(1).count():
+            break
+        rows = materialise(_divide(_with_texts(docs, want), width), "divided")
+        one = F.min(F.struct("_id", "_hash", "pos", "part", "hi")).alias("one")
+        copies = materialise(rows.groupBy("gram", "lo", "key", "whole").agg(F.count(F.lit(1)).alias("c"), one), "copies")
+        found.append(rows.join(copies.where("c > 1").select("gram", "lo", "key", "whole"), ["gram", "lo", "key", "whole"]).select("gram", "part", "a", "b"))
+        # On its own, so that the join can split a frequent key's partition.
+        sizes = materialise(copies.groupBy("gram", "lo", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "sizes")
+        want = copies.join(sizes, ["gram", "lo", "key"]).select("one.*", "gram", "lo", "k", F.xxhash64("gram", "lo", "key").alias("group"))
+        want = materialise(want.select(*ready[0].columns), "intervals")
+        ready.append(want.where(F.col("k") <= large))
+    small = reduce(DataFrame.unionByName, ready)
+    bins = max(16, small.count() // 400)
+    arrays = _fetch(_with_texts(docs, small)).groupBy(F.pmod(F.xxhash64("group"), F.lit(bins)).alias("k")).applyInPandas(_resolve, "gram long, part long, a long, b long")
+    return reduce(DataFrame.unionByName, found, arrays)
 
 
 def hash_bytes(raw: bytes) -> int:
@@ -278,15 +346,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rep = F.min(F.struct("_id", "_hash", "pos", "lm", "rm"))
     parts = materialise(occ.groupBy("gram", "part").agg(F.count(F.lit(1)).alias("c"), rep.alias("rep")), "slices")
     several = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    several = materialise(several, "several")  # on its own, for the same reason
     whole = parts.where("c > 1").select("gram", "part", F.col("rep.lm").cast("long").alias("a"), F.col("rep.rm").cast("long").alias("b"))
-    want = parts.join(several, "gram").select(F.col("rep._id").alias("_id"), F.col("rep._hash").alias("_hash"), F.struct("gram", "part", F.col("rep.pos").alias("pos"), "k").alias("w"))
-    want = materialise(want.groupBy("_id", "_hash").agg(F.collect_list("w").alias("want")).withColumnsRenamed({"_id": "_wid", "_hash": "_whash"}), "wanted")
-    texts = docs.join(_small(want, "want"), F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_hash") == F.col("_whash"))).select("_text", "want")
-    open_ = _fetch(texts, large)
-    bins = max(16, want.count() // 100)
-    # Small groups share a bin; a divided group has its own key for each half.
-    key = F.when(F.col("side") == 0, F.pmod(F.xxhash64("gram"), F.lit(bins))).otherwise(F.xxhash64("gram", "side"))
-    found = open_.withColumn("k", key).groupBy("k").applyInPandas(_resolve, "gram long, part long, a long, b long")
+    rep = {c: F.col(f"rep.{c}") for c in ("_id", "_hash", "pos")}
+    want = parts.join(several, "gram").select(rep["_id"].alias("_id"), rep["_hash"].alias("_hash"), "gram", "part", rep["pos"].alias("pos"), F.lit(0).cast("long").alias("lo"), F.lit(MARGIN).cast("long").alias("hi"), F.col("gram").alias("group"), "k")
+    found = _settle(docs, materialise(want, "slices-open"), large)
     stretch = whole.unionByName(found).groupBy("gram", "part").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     stretch = materialise(stretch, "stretches")
 
