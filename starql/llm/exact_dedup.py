@@ -1,6 +1,7 @@
 """Exact dedup with a heavy-hitter split, in DataFrame functions only.
 
-1. Every text is normalised and hashed once; ``(id, digest)`` is written to the shared folder.
+1. Every text is normalised and hashed; ``(id, digest)`` is written to the shared folder.  ``dedup_report`` decides on
+   these alone; ``exact_dedup``, which returns whole rows, hashes them again on the way out.
 2. A Misra-Gries frequent-items summary over the digests (Spark's ``approx_top_k_accumulate`` per group of
    input partitions, then ``approx_top_k_combine``) names every digest that holds more than about ``4/tracked``
    of the rows, the error bound of the summary, and most of the less frequent ones.  It has a fixed size.
@@ -52,13 +53,34 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """Every row of ``df`` with ``text_sha256``, ``keep_id``, ``group_size`` and ``kept``."""
     results = ["text_sha256", "keep_id", "group_size", "kept"]
     base = df.drop(*[c for c in df.columns if c.lower() in results and c not in (id_col, text_col)])
-    digest, size, keep, hot_size, hot_keep = fresh(base, "_digest", "_size", "_keep", "_hot_size", "_hot_keep")
-    sha = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    keys = materialise(base.select(F.col(id_col).alias("_id"), sha.alias("_digest")), "digests")
+    (digest,) = fresh(base, "_digest")
+    keys = digests(base, id_col, text_col)
+    return _decided(base.withColumn(digest, _sha(text_col)), digest, id_col, keys, tracked)
+
+
+def dedup_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = TRACKED) -> DataFrame:
+    """``(id_col, text_sha256, keep_id, group_size, kept)`` for every row of ``df``, from ids and digests alone: each
+    text is read and hashed once, and never shuffled."""
+    keys = digests(df, id_col, text_col)
+    base = keys.withColumnRenamed("_id", id_col)
+    return _decided(base, "_digest", id_col, keys, tracked)
+
+
+def _sha(text_col: str) -> Column:
+    return F.unhex(F.sha2(normalised(F.col(text_col)), 256))
+
+
+def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return materialise(df.select(F.col(id_col).alias("_id"), _sha(text_col).alias("_digest")), "digests")
+
+
+def _decided(base: DataFrame, digest: str, id_col: str, keys: DataFrame, tracked: int) -> DataFrame:
+    """``base``, whose column ``digest`` goes, with the results; ``keys`` has its ids and digests."""
+    size, keep, hot_size, hot_keep = fresh(base, "_size", "_keep", "_hot_size", "_hot_keep")
     winners = materialise(verified_winners(keys, tracked), "winners").select(
         F.col("_digest").alias(digest), F.col("_hot_size").alias(hot_size), F.col("_hot_keep").alias(hot_keep)
     )
-    rows = base.withColumn(digest, sha).join(F.broadcast(winners), digest, "left")
+    rows = base.join(F.broadcast(winners), digest, "left")
     # Losers of a hot group end here.  Its winner goes the ordinary way, where repeated rows of it meet.
     settled = F.col(hot_size).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(hot_keep))
     lost = rows.where(settled).withColumns({keep: F.col(hot_keep), size: F.col(hot_size), "kept": F.lit(False)})
@@ -72,5 +94,5 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         }
     )
     out = open_rows.unionByName(lost)
-    kept = [F.col(c) for c in base.columns]
+    kept = [F.col(c) for c in base.columns if c != digest]
     return out.select(*kept, F.lower(F.hex(digest)).alias("text_sha256"), F.col(keep).alias("keep_id"), F.col(size).alias("group_size"), F.col("kept"))

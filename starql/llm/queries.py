@@ -9,7 +9,7 @@ from .backoff_lm import score_texts
 from .bpe import bpe_encode
 from .common import is_held_out, table
 from .decontaminate import contaminated
-from .exact_dedup import exact_dedup
+from .exact_dedup import dedup_report
 from .langid import identify_language
 from .linkgraph import filter_urls
 from .mil_quality import THRESHOLD, score_quality
@@ -51,7 +51,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return dedup_report(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def tokenizer_file() -> str:
