@@ -10,7 +10,7 @@ import pytest
 
 from starql.llm import minhash_join as M
 from starql.llm.components import connected_components
-from starql.llm.exact_dedup import exact_dedup, frequent_digests, verified_winners
+from starql.llm.exact_dedup import dedup_report, exact_dedup, frequent_digests, verified_winners
 from starql.llm.suffix_array import common_prefixes, suffix_array
 from starql.llm.suffix_dedup import remove_repeats, repeated_stretches, stretches
 
@@ -89,6 +89,46 @@ def test_jaccard_join(spark, monkeypatch):
     assert out.columns.count("class_id") == 1 and len(links) > 60
 
 
+def test_a_large_group_of_near_copies(spark):
+    """5,000 texts that all link to one another, in several blocks; a third of all rows has no id."""
+    r = random.Random(14)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for k in range(5000):
+        w = list(base)
+        w[k % 150], w[(k // 150) * 4 + 1] = f"a{k}", f"b{k}"
+        rows.append((None if k % 3 == 0 else k, " ".join(w), None))
+    out = M.jaccard_classes(frame(spark, rows).repartition(6))
+    got = out.select("class_id", "n_links", "is_first").collect()
+    sets = [set(x.tolist()) for x in M.ngram_sets(pa.array([t for _, t, _ in rows]), 5)]
+    some = r.sample(range(5000), 8)
+    want = collections.Counter(sum(len(sets[a] & x) / len(sets[a] | x) >= 0.8 for x in sets) - 1 for a in some)
+    links = collections.Counter(x.n_links for x in got)
+    assert len(got) == 5000 and all(links[n] for n in want) and {x.class_id for x in got} == {1} and sum(x.is_first for x in got) == 1
+
+
+def test_many_rows_without_an_id(spark):
+    """Short texts in pairs: null ids give the same links as own ids, in about the same time."""
+    import time
+
+    texts = [f"pair {k // 2} alpha{k // 2} beta{k // 2} gamma{k // 2} delta{k // 2} epsilon{k // 2}" + " omega" * (k % 2) for k in range(2000)]
+    took, links = [], []
+    for ids in (range(2000), [None] * 2000):
+        began = time.time()
+        links.append(sorted(x.n_links for x in M.jaccard_classes(frame(spark, [(i, t, None) for i, t in zip(ids, texts)])).collect()))
+        took.append(time.time() - began)
+    assert links[0] == links[1] and took[1] < 3 * took[0] + 10
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    """A few long texts in more blocks than texts: empty blocks add no links."""
+    r = random.Random(15)
+    base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]]), None) for k in range(7)]
+    monkeypatch.setattr(M, "BLOCK_BYTES", 1000)
+    assert [x.n_links for x in M.jaccard_classes(frame(spark, rows)).collect()] == [6] * 7
+
+
 def test_bands():
     bands, rows = M.choose_bands(0.8, 0.995, 20)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.995 and bands <= 20 and (bands, rows) == (18, 6)
@@ -169,7 +209,7 @@ def brute_repeats(texts, span=400):
 def test_suffix_dedup(spark, large):
     r = random.Random(5)
     base = ["".join(r.choice("abcdé ") for _ in range(2500)) for _ in range(3)]
-    rows = [x for x in odd() if len(x[1] or "") < 10_000] + corpus(n=25)
+    rows = odd() + corpus(n=25)
     for k in range(60):
         x = r.randrange(2000)
         t = list(r.choice(base)[x : x + r.randrange(100, 1200)])
@@ -182,6 +222,27 @@ def test_suffix_dedup(spark, large):
     assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got) == sorted((str(i), *w) for (i, _, _), w in zip(rows, want, strict=True))
 
 
-@pytest.mark.parametrize("op", [exact_dedup, M.jaccard_join, remove_repeats])
+def test_dedup_report(spark):
+    rows = corpus() + odd() + [(2000 + k, "a hot text", None) for k in range(120)]
+    want = exact_dedup(frame(spark, rows)).select("doc_id", "text_sha256", "keep_id", "group_size", "kept").collect()
+    got = dedup_report(frame(spark, rows).repartition(4))
+    assert got.columns == ["doc_id", "text_sha256", "keep_id", "group_size", "kept"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
+
+
+def test_a_very_common_passage_in_many_surroundings(spark):
+    """One gram with many different slices: they are divided step by step and never gathered."""
+    r = random.Random(16)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(380))
+    rows = []
+    for k in range(400):
+        end = "".join(r.choice("xyz") for _ in range(r.choice([0, 3, 30, 200])))
+        rows.append((k, "".join(r.choice("uvw") for _ in range(r.choice([5, 60, 300]))) + "tail"[: k % 5] + passage + "same"[: k % 4] + end, None))
+    got = remove_repeats(frame(spark, rows), large=8).collect()
+    want = brute_repeats([t for _, t, _ in rows])
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got) == sorted((i, *w) for (i, _, _), w in zip(rows, want, strict=True))
+
+
+@pytest.mark.parametrize("op", [exact_dedup, dedup_report, M.jaccard_join, remove_repeats])
 def test_empty(spark, op):
     assert op(frame(spark, [])).collect() == []
