@@ -2,10 +2,10 @@
 
 Words and n-grams are keyed by 64-bit hashes; every count table is hash-partitioned and grows with the corpus.
 The score of word w after the ``order`` - 1 words before it (fewer at the start of a text) is count(context w) / count(context)
-if that n-gram stands at least ``MIN_COUNT`` times in the corpus, else ``ALPHA`` times the score of w after the context without
-its first word, down to count(w) / N.  A text's score is the sum of logarithms.  With ``leave_one_out`` the occurrence that is
-scored is taken off n-gram and context, so that an n-gram is seen if it stands anywhere else (that is what ``MIN_COUNT`` = 2
-says); count(w) / N keeps it, so no score is infinite.  The registered query uses order 3 with ``leave_one_out``.
+if that n-gram is seen, else ``ALPHA`` times the score of w after the context without its first word, down to count(w) / N.  A
+text's score is the sum of logarithms.  With ``leave_one_out`` the occurrence that is scored is taken off n-gram and context, so
+an n-gram is seen if it stands anywhere else in the corpus; count(w) / N keeps it, so no score is infinite.  Without, every
+n-gram of the corpus is seen, and nothing backs off.
 
 1. The words N of all texts are counted.
 2. Each slice of the input sends its distinct words and n-grams with their counts, packed, to ranges of the hash.  A range
@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .common import SLICE_BYTES, materialise
 
-MIN_COUNT = 2
 ALPHA = 0.4
 #: Keys of one hash partition, at most.
 PER_PARTITION = 2_000_000
@@ -126,7 +125,7 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return _whole(raw, len(raw) // 8, "<u8").astype(np.int64)
 
 
-def score_slice(texts: pa.Array, counts: np.ndarray, order: int, total: int, leave_one_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def score_slice(texts: pa.Array, counts: np.ndarray, order: int, total: int, leave_one_out: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Words and score of each row of a slice, from the corpus counts of its distinct n-grams."""
     w, rows = word_ids(texts)
     codes, last = grams(w, rows, order)
@@ -136,7 +135,7 @@ def score_slice(texts: pa.Array, counts: np.ndarray, order: int, total: int, lea
     score, context = np.log(np.maximum(each[0], 1)) - np.log(total), each[0]
     for count, e in zip(each[1:], last[1:], strict=True):
         seen = np.log(np.maximum(count - own, 1)) - np.log(np.maximum(context[e - 1] - own, 1))
-        score[e] = np.where(count >= MIN_COUNT, seen, np.log(ALPHA) + score[e])
+        score[e] = np.where(count > own, seen, np.log(ALPHA) + score[e])
         context = np.zeros(len(w), np.int64)
         context[e] = count
     return np.bincount(rows, minlength=len(texts)), np.bincount(rows, score, len(texts))
@@ -153,7 +152,7 @@ def _numbered_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, p
             nth += 1
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, leave_one_out: bool = False) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, leave_one_out: bool = True) -> DataFrame:
     """``(id_col, n_words, log_score)`` for every row."""
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():

@@ -77,7 +77,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]), order=3, leave_one_out=True)
+    done = score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]))
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).otherwise(0.0)
     return done.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), mean.alias("mean_log_score"))
 
