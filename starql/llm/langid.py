@@ -8,8 +8,8 @@ is the language with the largest proportion; its score is that proportion times
 against the other ones.
 
 The distributions are fitted to a bounded sample of at most ``per_language`` labelled rows of each language (those
-with the lowest id hash among rows that are not held out) and keep the ``vocabulary`` most frequent trigrams of each
-language; both are parameters.  Every document is then scored on its whole text.
+with the lowest id hash among rows that are not held out), of at most the ``languages`` most frequent labels, and keep
+the ``vocabulary`` most frequent trigrams of each language; all three are parameters.  Every document is then scored on its whole text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if nothing was learned all are
 ``und``; a text with letters but no known trigram gets the language with most sampled text, with score 1/(number of
@@ -31,6 +31,7 @@ from .common import bounded_sample, fresh, is_held_out
 
 PER_LANGUAGE = 640
 VOCABULARY = 6000
+LANGUAGES = 200
 ROUNDS = 10
 UNDETERMINED = "und"
 
@@ -68,13 +69,20 @@ def _counts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_pydict({"lang": [names[k] for k in key >> 24], "gram": pa.array(key & 0xFFFFFF, pa.int32()), "n": pa.array(n, pa.int64())})
 
 
+_tables: dict[bytes, np.ndarray] = {}
+
+
 class Mixture:
     """Trigram distributions of the learned languages."""
 
     def __init__(self, names: list[str], grams: np.ndarray, prob: np.ndarray, first: int):
         self.names, self.grams, self.prob, self.first = names, grams, prob, first
-        self.table = np.full(1 << 24, -1, np.int32)
-        self.table[grams] = np.arange(len(grams))
+        key = grams.tobytes()
+        if key not in _tables:  # one table of 64 MB for each worker, not for each task
+            _tables.clear()
+            _tables[key] = np.full(1 << 24, -1, np.int32)
+            _tables[key][grams] = np.arange(len(grams))
+        self.table = _tables[key]
 
     @classmethod
     def from_counts(cls, rows: list[tuple[str, int, int]]) -> Mixture | None:
@@ -165,8 +173,10 @@ def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[heads], heads, np.r_[heads[1:], len(rows)]
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, vocabulary: int = VOCABULARY) -> Mixture | None:
+def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, vocabulary: int = VOCABULARY, languages: int = LANGUAGES) -> Mixture | None:
     learn = df.where(~is_held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    common = learn.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).select(lang_col)
+    learn = learn.join(F.broadcast(common), lang_col, "left_semi")
     ids = bounded_sample(learn, id_col, F.col(lang_col), per_language)
     sample = learn.select(F.col(id_col), F.col(lang_col).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     sample = sample.join(F.broadcast(ids), [id_col, "stratum"], "left_semi")  # at most per_language rows of each language

@@ -11,7 +11,7 @@ characters (for the fit only), those with the lowest id hash.  Every document is
 
 Defined results: a null or empty text is one passage of zeros and gets a score like any other; if there is no label
 or only one class to learn from, the score is the share of label 1 (0.5 without labels); several labels of one id
-count by their mean, labels that are null do not count; repeated rows are scored each; extra columns pass through."""
+count by their mean, labels that are null do not count; of several rows with one id, the least text is learned from; repeated rows are scored each; extra columns pass through."""
 
 from __future__ import annotations
 
@@ -183,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = marks.join(F.broadcast(ids), id_col, "left_semi").groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("_y"))
     text = docs.where(F.length(F.coalesce(F.col(text_col), F.lit(""))) <= longest).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     joined = text.join(F.broadcast(marks), id_col)  # at most `sample` rows are broadcast
+    joined = joined.groupBy(id_col, "_y").agg(F.min("_text").alias("_text"))  # of rows with one id, the least text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([X.column(part, id_col), X.column(part, "_y"), pa.array([x[a:b].astype(np.float32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["id", "y", "x"])
 
     kind = dict(docs.dtypes)[id_col]
-    rows = sorted(joined.mapInArrow(run, f"id {kind}, y int, x binary").collect(), key=lambda r: (r.id, r.x))[: 2 * sample]
+    rows = sorted(joined.mapInArrow(run, f"id {kind}, y int, x binary").collect(), key=lambda r: (r.id, r.x))
     if len({r.y for r in rows}) < 2:
         return sum(r.y for r in rows) / len(rows) if rows else 0.5
     x = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
