@@ -58,8 +58,9 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """``(host, rank)`` by power iteration; ``seeds`` is ``(host, weight)`` and the restart distribution.
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-4) -> DataFrame:
+    """``(host, rank)`` by power iteration until the ranks move less than ``tolerance`` in sum (about 60 rounds on long
+    paths at this damping; an error if ``rounds`` are not enough); ``seeds`` is ``(host, weight)`` and the restart distribution.
 
     Mass of hosts without outgoing edges returns to the seeds.  Hosts that get no mass have no row."""
     whole = seeds.agg(F.sum("weight").alias("w")).first()["w"]
@@ -68,19 +69,19 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
     start = materialise(seeds.select("host", (F.col("weight") / whole).alias("rank")), "seeds")
     outgoing = edges.groupBy("src").agg(F.sum("n").alias("total"))
     moves = materialise(edges.join(outgoing, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "moves")
-    rank = start
+    linked = materialise(moves.select(F.col("src").alias("host")).distinct().withColumn("linked", F.lit(True)), "linked")
+    rank = start.select("host", "rank", F.lit(0.0).alias("old"))
     for _ in range(rounds):
-        moved = moves.join(rank, moves.src == rank.host).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        passed = moved.groupBy("host").agg(F.sum("rank").alias("rank"))
-        kept = passed.agg(F.sum("rank").alias("m")).first()["m"] or 0.0
-        back = start.select("host", (F.col("rank") * (1.0 - kept)).alias("rank"))
-        new = materialise(passed.unionByName(back).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
-        a, b = rank.select("host", F.col("rank").alias("old")), new
-        moved_by = a.join(b, "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).first()["d"]
-        rank = new
-        if (moved_by or 0.0) < tolerance:
-            break
-    return rank
+        state = rank.join(linked, "host", "left").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"), F.sum(F.when(F.col("linked"), F.col("rank"))).alias("live")).first()
+        if state["moved"] < tolerance:
+            return rank.where("rank > 0").select("host", "rank")
+        zero = F.lit(0.0)
+        passed = moves.join(rank, moves.src == rank.host).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), zero.alias("old"))
+        back = start.select("host", (F.col("rank") * (1.0 - damping * (state["live"] or 0.0))).alias("rank"), zero.alias("old"))
+        before = rank.select("host", zero.alias("rank"), F.col("rank").alias("old"))
+        rank = passed.unionByName(back).unionByName(before).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"))
+        rank = materialise(rank, "rank")
+    raise RuntimeError("ranks did not settle")
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
