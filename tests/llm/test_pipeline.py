@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
     r = random.Random(12)
     at = tmp_path_factory.mktemp("tables")
     items = [(k, prose(r, "en", r.randint(20, 50))) for k in range(12)] + [(50, None)]
-    rows = [x for x in corpus(seed=5, n=160) if x[0] is not None] + [x for x in odd() if len(x[1] or "") < 10_000]
+    rows = [x for x in corpus(seed=5, n=160) if x[0] is not None] + odd()
     rows += [(20_000 + k, prose(r, "en", 60) + "\n" + items[k % 12][1] + "\n" + prose(r, "fr", 40), "en") for k in range(24)]
     junk = [(30_000 + k, " | ".join(w.upper() + "!!" for w in prose(r, "en", r.randint(40, 120)).split()), "en") for k in range(80)]
     labels = [(i, 1, 0) for i, _, _ in rows if i is not None and i < 160] + [(i, 0, 0) for i, _, _ in junk]
@@ -88,7 +88,8 @@ def test_stages(spark, folder, tmp_path):
         return X.span_hashes(data, s, e)
 
     tests = [hashes(t) for _, t in items if t]
-    clean = [r for r in before if not any(plain_align(t, hashes(r.text)) >= 0.7 * 2 * len(t) for t in tests)]
+    short = lambda r: len(r.text or "") < 10_000  # the long text is one phrase again and again, and holds no item
+    clean = [r for r in before if not (short(r) and any(plain_align(t, hashes(r.text)) >= 0.7 * 2 * len(t) for t in tests))]
     assert listed(after) == listed(clean) and len(before) - len(after) >= 12
 
     before, after = outs["tokenise"]
