@@ -33,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
@@ -244,9 +244,15 @@ _WANT = ("gram", "part", "pos", "lo", "hi", "group")
 
 def _with_texts(docs: DataFrame, want: DataFrame) -> DataFrame:
     """``(_id, _hash, _text, want)`` for the texts that hold wanted slices."""
-    each = want.groupBy("_id", "_hash").agg(F.collect_list(F.struct(*_WANT)).alias("want")).withColumnsRenamed({"_id": "_wid", "_hash": "_whash"})
+    each = want.groupBy(_row().alias("_wrow")).agg(F.collect_list(F.struct(*_WANT)).alias("want"))
     each = materialise(each, "wanted")
-    return docs.join(_small(each, "want"), F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_hash") == F.col("_whash"))).select("_id", "_hash", "_text", "want")
+    return docs.join(_small(each, "want"), _row() == F.col("_wrow")).select("_id", "_hash", "_text", "want")
+
+
+def _row() -> Column:
+    """A row by its id, which may be null, and text.  Joins on one 64-bit number keep Spark's hash tables compact: one
+    on several columns takes a memory page (64 MB here) for each broadcast, however small."""
+    return F.xxhash64("_id", "_hash")
 
 
 def _fetch(texts: DataFrame) -> DataFrame:
@@ -308,13 +314,14 @@ def _settle(docs: DataFrame, want: DataFrame, large: int) -> DataFrame:
         want = want.where(F.col("k") > large)
         if not want.limit(1).count():
             break
-        rows = materialise(_divide(_with_texts(docs, want), width), "divided")
-        one = F.min(F.struct("_id", "_hash", "pos", "part", "hi")).alias("one")
-        copies = materialise(rows.groupBy("gram", "lo", "key", "whole").agg(F.count(F.lit(1)).alias("c"), one), "copies")
-        found.append(rows.join(copies.where("c > 1").select("gram", "lo", "key", "whole"), ["gram", "lo", "key", "whole"]).select("gram", "part", "a", "b"))
-        # On its own, so that the join can split a frequent key's partition.
-        sizes = materialise(copies.groupBy("gram", "lo", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "sizes")
-        want = copies.join(sizes, ["gram", "lo", "key"]).select("one.*", "gram", "lo", "k", F.xxhash64("gram", "lo", "key").alias("group"))
+        rows = _divide(_with_texts(docs, want), width).withColumn("cell", F.xxhash64("gram", "lo", "key"))
+        rows = materialise(rows.withColumn("whole", F.xxhash64("cell", "whole")).drop("key"), "divided")
+        one = F.min(F.struct("_id", "_hash", "gram", "part", "pos", "lo", "hi")).alias("one")
+        copies = materialise(rows.groupBy("cell", "whole").agg(F.count(F.lit(1)).alias("c"), one), "copies")
+        found.append(rows.join(copies.where("c > 1").select("whole"), "whole").select("gram", "part", "a", "b"))
+        # On its own, so that the join can split a frequent cell's partition.
+        sizes = materialise(copies.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "sizes")
+        want = copies.join(sizes, "cell").select("one.*", "k", F.col("cell").alias("group"))
         want = materialise(want.select(*ready[0].columns), "intervals")
         ready.append(want.where(F.col("k") <= large))
     small = reduce(DataFrame.unionByName, ready)
@@ -356,9 +363,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     cuts = occ.join(stretch, ["gram", "part"]).select("_id", "_hash", F.struct((F.col("pos") - F.col("a")).alias("lo"), (F.col("pos") + GRAM + F.col("b")).alias("hi")).alias("cut"))
     # Repeated rows (same id and text) bring the same cuts; a set keeps the list within the text's own anchors.
-    cuts = cuts.groupBy("_id", "_hash").agg(F.collect_set("cut").alias("cuts")).withColumnsRenamed({"_id": "_cid", "_hash": "_chash"})
+    cuts = cuts.groupBy(_row().alias("_crow")).agg(F.collect_set("cut").alias("cuts"))
     cuts = materialise(cuts, "cuts")
-    rows = docs.join(_small(cuts, "cuts"), F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")), "left").select("_id", "_text", "cuts")
+    rows = docs.join(_small(cuts, "cuts"), _row() == F.col("_crow"), "left").select("_id", "_text", "cuts")
     kind = dict(docs.dtypes)["_id"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + 1)
         got = np.full(size, base, U64)
         got[0] = 1
         got = np.multiply.accumulate(got)
