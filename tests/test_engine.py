@@ -57,6 +57,20 @@ def test_null_keys_and_duplicates(run, hint):
     assert run("SELECT lhs.name, lhs.v, rhs.w FROM lhs JOIN rhs ON lhs.name = rhs.name", join_hint=hint) == [("alpha", 1, 10)]
 
 
+def test_a_broadcast_is_bounded(spark, tmp_path):
+    spark.range(2_000_000).selectExpr("id div 1000 AS id").repartitionByRange(1, "id").write.parquet(str(tmp_path / "packed"))
+    spark.range(3).selectExpr("id", "'x' AS s").write.parquet(str(tmp_path / "few"))
+    spark.range(50).selectExpr("id", "repeat('x', 2000000) AS s").write.parquet(str(tmp_path / "wide"))
+    c = Catalog(spark)
+    for name in ("packed", "few", "wide"):
+        c.add_parquet(name, str(tmp_path / name))
+    c.add("listed", spark.range(2_000_000).toDF("id"))
+    for name, n in {"few": 3, "packed": 3000, "wide": 3, "listed": 3}.items():
+        df = Engine(c, join_hint="broadcast").sql(f"SELECT r.* FROM few JOIN {name} r ON few.id = r.id")
+        assert len(df.collect()) == n, name
+        assert ("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()) == (name == "few"), name
+
+
 def test_strings(run):
     assert run("SELECT m.id, m.note FROM markets AS m WHERE m.region = 'AMERICA'") == [(1, "North, South")]
     assert run("SELECT m.note FROM markets m WHERE m.id = 3") == [("",)]
