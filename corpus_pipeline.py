@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starql.llm.bpe import bpe_encode
-from starql.llm.common import materialise, release, written
+from starql.llm.common import bound_batches, materialise, release, written
 from starql.llm.decontaminate import decontaminate
 from starql.llm.exact_dedup import exact_dedup
 from starql.llm.mil_quality import THRESHOLD, score_quality
@@ -20,6 +20,7 @@ from starql.llm.queries import tokenizer_file
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold go."""
+    bound_batches(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, model).where(F.col("score") >= THRESHOLD).select(docs.columns)
 
@@ -31,16 +32,19 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the row with the smallest id stays."""
+    bound_batches(spark)
     return jaccard_join(docs).where("is_first").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, verbatim or edited, go."""
+    bound_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def tokenise_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left."""
+    bound_batches(spark)
     done = bpe_encode(docs.select("doc_id", "text"), tokenizer_file())
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -33,11 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .common import fresh
+from .common import sent_text
 
 # Fixed values of the byte-level scheme: the pattern that splits text before merges.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -303,8 +302,7 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_c
     with open(tokenizer_path, "rb") as f:
         content = df.sparkSession.sparkContext.broadcast(f.read())
     df = df.drop(ids_col, *([decoded_col] if decoded_col else []))
-    (text,) = fresh(df, "_text")
-    src = df.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    src, text = sent_text(df, text_col)
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
     names = df.columns
 

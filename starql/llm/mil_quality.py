@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .common import bounded_sample, fresh, is_held_out
+from .common import bounded_sample, is_held_out, sent_text
 
 WORDS = 48
 SAMPLE = 6000
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_quality(df: DataFrame, model: Attention | float, text_col: str = "text") -> DataFrame:
     """``df`` with ``score`` and ``top_passage`` (number of the passage with the largest attention weight)."""
     df = df.drop("score", "top_passage")
-    (text,) = fresh(df, "_text")
+    src, text = sent_text(df, text_col)
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("top_passage", T.IntegerType())])
     sent = df.sparkSession.sparkContext.broadcast(model.p if isinstance(model, Attention) else float(model))
     names = df.columns
@@ -222,4 +222,4 @@ def score_quality(df: DataFrame, model: Attention | float, text_col: str = "text
                     top = (heads - np.searchsorted(owner, np.arange(n))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*[X.column(part, c) for c in names], pa.array(score, pa.float64()), pa.array(top, pa.int32())], names=[*names, "score", "top_passage"])
 
-    return df.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
+    return src.mapInArrow(run, schema)

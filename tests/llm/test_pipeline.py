@@ -9,9 +9,11 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from starql.llm import mil_quality as Q  # noqa: E402
 from starql.llm import minhash_join as M  # noqa: E402
 from starql.llm import textops as X  # noqa: E402
-from starql.llm.common import written  # noqa: E402
+from starql.llm.bpe import bpe_encode  # noqa: E402
+from starql.llm.common import BATCH_BYTES, bound_batches, written  # noqa: E402
 from starql.llm.queries import tokenizer_file  # noqa: E402
 
 from .data import corpus, odd, prose  # noqa: E402
@@ -111,3 +113,40 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_batches_are_bounded(spark, folder):
+    """A stage's Arrow batches end at a few MB, whatever its rows hold; a lower bound that is set stays."""
+    sf, _ = folder
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 1000) AS text", "'en' AS lang", "'src' AS source", "11000L AS n_chars")
+    try:
+        for stage in ("quality", "near_dedup", "decontamination", "tokenise"):
+            spark.conf.unset(name)
+            dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+            got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < BATCH_BYTES + 1_000_000
+        spark.conf.set(name, "64k")
+        bound_batches(spark)
+        assert spark.conf.get(name) == "64k"
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_texts_are_sent_once(spark):
+    """The operators read the text column itself; a null there counts as empty, and a nested one is added."""
+    docs = spark.createDataFrame([(1, "some words " * 40), (2, None), (3, "")], "doc_id long, text string")
+    nested = docs.selectExpr("doc_id", "struct(text AS t) AS s")
+    net = Q.Attention.start(Q.N_FEATURES)
+    for make, value in ((lambda df, c: Q.score_quality(df, net, c), "score"), (lambda df, c: bpe_encode(df, tokenizer_file(), c), "ids")):
+        sent = make(docs, "text")
+        plan = sent._jdf.queryExecution().optimizedPlan()
+        assert plan.children().head().output().size() == 2
+        got = {r.doc_id: r[value] for r in sent.collect()}
+        assert got == {r.doc_id: r[value] for r in make(nested, "s.t").collect()} and got[2] == got[3] != got[1]
